@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemill.llm import packing, scratch, token_output
+from tidemill.llm import packing, scratch, secrets_scan, simhash, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -37,3 +38,14 @@ def op2_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.new_path(spark, "tokens")
     token_output.write_token_files(table(spark, sf_dir, "documents"), path, vocabulary())
     return token_output.read_token_files(spark, path).drop("ids")
+
+
+@query
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_scan.find_secrets(table(spark, sf_dir, "documents"))
