@@ -15,7 +15,7 @@ import numpy as np
 
 SPACE, NEWLINE = " ", "\n"
 #: Pieces kept per worker; at about 200 bytes each this bounds the memory, not the result.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 1_000_000
 _JOINED = 20_000  # pieces given to the library in one string
 #: A word of one letter run, perhaps followed by one mark: two pre-tokens at most, whatever stands around it.
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
@@ -49,9 +49,9 @@ class WordCachedTokenizer:
             starts[1, i] = token.startswith("Ċ")
         self._starts = {SPACE: starts[0], NEWLINE: starts[1]}
         # Space-led pieces under their own text; "\x00" leads those after a line feed, "\x01" the first of a text.
-        # None marks a piece whose text must be encoded whole.
-        self._cache: dict[str, bytes | None] = {}
-        self._older: dict[str, bytes | None] = {}
+        # A piece whose text must be encoded whole never enters.
+        self._cache: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self._lib.encode_batch_fast(texts, add_special_tokens=False)]
@@ -86,7 +86,7 @@ class WordCachedTokenizer:
                 self._cache[p] = (self._newline if p[0] == "\x00" else b"") + self._plain(m[1], m[2], "")
                 continue
             if not body or body[0].isspace() or body[-1].isspace() or "\x00" in body or "\x01" in body or any(s in body for s in self._special):
-                self._cache[p] = None
+                continue
             elif body is p:
                 spaced.append(p)
             else:
@@ -98,31 +98,36 @@ class WordCachedTokenizer:
                 self._cache[p] = ids if p[0] == "\x00" else ids[len(self._newline) :]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut, missing = [], set()
+        cut: list[tuple[list[str], list[bytes | None], list[int]] | None] = []
+        missing: set[str] = set()
+        known = self._cache.get
         for t in texts:
             if "\x00" in t or "\x01" in t:
                 cut.append(None)
                 continue
             pieces = ("\x01" + t).replace("\n", " \x00").split(" ")
-            cut.append(pieces)
-            missing.update(set(pieces).difference(self._cache))
+            found = list(map(known, pieces))
+            gaps = [i for i, v in enumerate(found) if v is None] if None in found else []
+            missing.update([pieces[i] for i in gaps])
+            cut.append((pieces, found, gaps))
         if missing:
             if len(self._cache) + len(missing) > CACHE_PIECES // 2:
-                # The older half goes; what is still in use moves up from the newer one as it is met.
+                # What is still in use moves up from the older half as it is met.
                 self._cache, self._older = {}, self._cache
-                missing = {p for pieces in cut if pieces for p in pieces}
-            known = missing.intersection(self._older)
-            self._cache.update((p, self._older[p]) for p in known)
-            self._learn(missing - known)
+            older = missing.intersection(self._older)
+            self._cache.update((p, self._older[p]) for p in older)
+            self._learn(missing - older)
+            known = self._cache.get
         out: list[bytes] = []
-        for t, pieces in zip(texts, cut, strict=True):
+        for t, c in zip(texts, cut, strict=True):
             if not t:
                 out.append(b"")
                 continue
-            try:
-                out.append(b"".join(map(self._cache.__getitem__, pieces)))
-            except TypeError:  # None: not cut safely
-                out += self._whole([t])
+            if c is not None:
+                pieces, found, gaps = c
+                for i in gaps:
+                    found[i] = known(pieces[i])
+            out += self._whole([t]) if c is None or gaps and None in found else [b"".join(found)]
         return out
 
 
@@ -136,7 +141,7 @@ def tokenizer(path: str) -> WordCachedTokenizer:
     return _made[path]
 
 
-def slices(texts: list[str | None], chars: int = 4_000_000):
+def slices(texts: list[str | None], chars: int = 1_000_000):
     """Runs of ``texts`` (None as empty) of about ``chars`` characters, as (start, list)."""
     start, some, n = 0, [], 0
     for i, t in enumerate(texts):

@@ -145,8 +145,7 @@ def global_counts(ids: DataFrame, size: int = 65_536) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for raw in batch.column(0):
-                total += np.bincount(np.frombuffer(raw.as_buffer(), "<u2"), minlength=size)
+            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2"), minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["symbol", "n"])
 
@@ -199,8 +198,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     ordered.mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """Decode files: doc_id, start (ids of all documents before), n_tokens, ids_crc32 (of the ids as little-endian uint32), ids (array)."""
+def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """Decode files: doc_id, start (ids of all documents before), n_tokens, ids_crc32 (of the ids as little-endian uint32) and, if wanted, ids (array)."""
     book = spark.read.parquet(f"{path}/codebook").collect()  # at most one row for each id of the vocabulary
     lengths = np.zeros(65_536, np.int64)
     for r in book:
@@ -236,10 +235,9 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 wide = ids.astype("<u4").tobytes()
                 crc = [zlib.crc32(wide[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
                 start = ends - counts + before[row["shard"]] + row["inside"]
-                offsets = np.concatenate([[0], ends]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, mask=nulls), pa.array(start), pa.array(counts), pa.array(crc, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                )
+                columns = {"doc_id": pa.array(names, mask=nulls), "start": pa.array(start), "n_tokens": pa.array(counts), "ids_crc32": pa.array(crc, pa.int64())}
+                if with_ids:
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_pydict(columns)
 
-    return blocks.join(inside, ["shard", "block"]).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    return blocks.join(inside, ["shard", "block"]).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
