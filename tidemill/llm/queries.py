@@ -37,7 +37,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.new_path(spark, "tokens")
     token_output.write_token_files(table(spark, sf_dir, "documents"), path, vocabulary())
-    return token_output.read_token_files(spark, path).drop("ids")
+    return token_output.read_token_files(spark, path, with_ids=False)
 
 
 @query
