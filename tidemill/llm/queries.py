@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import packing, scratch, secrets_scan, simhash, token_output, toxicity
+from tidemill.llm import decontaminate, packing, scratch, secrets_scan, simhash, token_output, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -55,3 +55,38 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE_SQL["op6_benchmark_decontamination"] = r"""
+WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+     dw AS (SELECT doc_id, text, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+     iw AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+     sh AS (SELECT DISTINCT item_id, CASE WHEN len(w) < 5 THEN len(w) ELSE 5 END AS n, array_to_string(w[i : i + CASE WHEN len(w) < 5 THEN len(w) ELSE 5 END - 1], ' ') AS s
+            FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM iw WHERE len(w) > 0)),
+     q AS (SELECT item_id, count(*) AS q FROM sh GROUP BY item_id),
+     ds AS (SELECT DISTINCT doc_id, text, n, array_to_string(w[i : i + n - 1], ' ') AS s
+            FROM (SELECT doc_id, text, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, (SELECT DISTINCT n FROM sh) WHERE len(w) >= n)),
+     m AS (SELECT doc_id, text, item_id, count(*) AS shared FROM ds JOIN sh USING (n, s) GROUP BY doc_id, text, item_id)
+SELECT DISTINCT doc_id, item_id, CAST(q AS INTEGER) AS item_shingles, CAST(shared AS INTEGER) AS shared_shingles
+FROM m JOIN q USING (item_id) WHERE shared >= 0.8 * q
+"""
+
+
+# Fixed values: (verdict, host, path).
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+@query
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
