@@ -23,7 +23,7 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     Links may repeat, point either way or join a node to itself; rows with a null end are ignored. No links: no rows.
     """
-    links = links.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u IS NOT NULL AND v IS NOT NULL")
+    links = scratch.materialize(links.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u IS NOT NULL AND v IS NOT NULL"), "given")
     alone = links.where("u = v").select("u").distinct()
     now = scratch.materialize(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     loops = scratch.materialize(alone, "loops")
