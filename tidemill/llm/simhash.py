@@ -168,3 +168,184 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = R
     joint = linked.join(named, "component").select("fp", "component_id")
     classes = scratch.materialize(least.join(joint, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")), "classes")
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+# --- documents of a given similarity ------------------------------------------------------------------------------
+
+SKETCH_BITS = 512
+PASS_BITS = 128  # of the sketch, carried along to judge what meets
+TARGET_RECALL = 0.98
+SMALL_GROUP = 32
+_SPREAD = np.array([2 * k + 1 for k in np.random.default_rng(64).integers(1 << 60, 1 << 62, SKETCH_BITS // 64).tolist()], np.uint64)
+
+
+def disagreement(similarity: float) -> float:
+    """The share of bits in which sketches of two shingle sets of one size and Jaccard ``similarity`` differ."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def sketch(text: str | None, words: int) -> bytes:
+    """A SimHash of ``SKETCH_BITS`` bits over the text's ``words``-word shingles, A-Z lower-cased; zero bits for no words."""
+    import xxhash
+
+    joined = b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
+    if not joined:
+        return bytes(SKETCH_BITS // 8)
+    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    digest = xxhash.xxh3_64_digest
+    if len(gaps) + 1 <= words:
+        hashes = digest(joined)
+    else:
+        starts = [0, *(gaps[: len(gaps) - words + 2] + 1).tolist()]
+        ends = [*gaps[words - 1 :].tolist(), len(joined)]
+        hashes = b"".join([digest(joined[a:b]) for a, b in zip(starts, ends, strict=False)])
+    h = np.frombuffer(hashes, np.uint64)
+    total = np.zeros(SKETCH_BITS, np.int64)
+    for i in range(0, len(h), 16_384):
+        with np.errstate(over="ignore"):
+            wide = (h[i : i + 16_384, None] ^ (h[i : i + 16_384, None] >> np.uint64(31))) * _SPREAD
+            wide ^= wide >> np.uint64(29)
+        total += np.unpackbits(wide.view(np.uint8).reshape(len(wide), -1), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * total > len(h)).tobytes()
+
+
+def tables_for(n: int, similarity: float, recall: float = TARGET_RECALL) -> tuple[int, int]:
+    """(bits, tables): key bits that keep random company small among n sketches, and tables that reach the recall."""
+    bits = int(np.clip(np.ceil(np.log2(max(n, 1))) + 2, 12, 32))
+    p = disagreement(similarity)
+    meets = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1) + bits * (bits - 1) / 2 * p * p * (1 - p) ** (bits - 2)
+    return bits, int(np.ceil(np.log(1 - recall) / np.log(1 - meets)))
+
+
+def _pass_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+
+
+def _group_links(g: np.ndarray, f: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of one large group: a spanning forest by breadth, each member to the one that reached it, and each member to its nearest."""
+    left, us, vs = np.arange(len(g)), [], []
+    while len(left) > 1:
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            at = queue.pop(0)
+            near = _pass_distance(f[left], f[at]) <= most
+            found = left[near]
+            queue.extend(found)
+            us.append(np.full(len(found), at))
+            vs.append(found)
+            left = left[~near]
+    for at in range(0, len(g), 256):
+        part = np.arange(at, min(at + 256, len(g)))
+        d = _pass_distance(f[part][:, None, :], f[None, :, :])
+        d[np.arange(len(part)), part] = PASS_BITS + 1
+        best = d.argmin(1)
+        ok = d[np.arange(len(part)), best] <= most
+        us.append(part[ok])
+        vs.append(best[ok])
+    return g[np.concatenate(us)], g[np.concatenate(vs)]
+
+
+def similar_links(sketches: DataFrame, similarity: float, n: int) -> DataFrame:
+    """(u, v) pairs among distinct sketches (g, bits) that met in some table and are alike by their carried bits."""
+    bits, tables = tables_for(n, similarity)
+    rng = np.random.default_rng(9)
+    chosen = np.stack([rng.permutation(SKETCH_BITS - PASS_BITS)[:bits] for _ in range(tables)]) + PASS_BITS
+    masks = ball(bits, 1).view(np.int64)
+    p = disagreement(similarity)
+    most = int(PASS_BITS * p + 2.5 * np.sqrt(PASS_BITS * p * (1 - p)))
+    weights = 1 << np.arange(bits, dtype=np.int64)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(ids), -1)
+            for at in range(0, len(ids), 8_192):
+                g, part = ids[at : at + 8_192], raw[at : at + 8_192]
+                ones = np.unpackbits(part, axis=1)
+                f = np.ascontiguousarray(part[:, : PASS_BITS // 8]).view(np.int64)
+                row = np.repeat(np.arange(len(g)), len(masks))
+                for t in range(tables):
+                    key = ones[:, chosen[t]] @ weights
+                    key = (key[:, None] ^ masks[None, :]).ravel() | t << 33
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(g[row]), pa.array(f[row, 0]), pa.array(f[row, 1])], names=["key", "g", "f0", "f1"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+
+        def links(key: np.ndarray, g: np.ndarray, f0: np.ndarray, f1: np.ndarray) -> pa.RecordBatch:
+            f = np.stack([f0, f1], 1).view(np.uint64)
+            new = np.flatnonzero(key[1:] != key[:-1]) + 1
+            starts, ends = np.concatenate([[0], new]), np.concatenate([new, [len(key)]])
+            size = np.repeat(ends - starts, ends - starts)
+            us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for d in range(1, min(SMALL_GROUP, int(size.max()))):
+                i = np.flatnonzero((key[:-d] == key[d:]) & (size[d:] <= SMALL_GROUP))
+                i = i[_pass_distance(f[i], f[i + d]) <= most]
+                us.append(g[i])
+                vs.append(g[i + d])
+            for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+                if e - s > SMALL_GROUP:
+                    u, v = _group_links(g[s:e], f[s:e], most)
+                    us.append(u)
+                    vs.append(v)
+            pairs = np.stack([np.concatenate(us), np.concatenate(vs)], 1)
+            pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["u", "v"])
+
+        for batch in batches:
+            now = [batch.column(i).to_numpy() for i in range(4)]
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            if not len(now[0]):
+                continue
+            cut = int(np.searchsorted(now[0], now[0][-1]))
+            if cut:
+                yield links(*(x[:cut] for x in now))
+            held = [x[cut:] for x in now]
+        if held is not None and len(held[0]):
+            yield links(*held)
+
+    met = sketches.select("g", "bits").mapInArrow(emit, "key long, g long, f0 long, f1 long")
+    return met.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "u long, v long").distinct()
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) for every row of ``docs`` (doc_id, text): groups of documents at the similarity or above.
+
+    Similarity is that of the sets of ``words``-word shingles, told from sketches of 512 bits (a standard error of
+    about 0.03). The sketch's bits are dealt into tables; in each, every sketch emits all variants within one bit of
+    its key, half of the two bits by which a pair may differ there. Null and empty texts are alike. A null doc_id
+    belongs to its group but never names it.
+    """
+    scratch.prepare(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sketch(t.as_py(), words) for t in batch.column(1)], pa.binary())], names=["doc_id", "bits"])
+
+    made = scratch.materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, bits binary"), "sketches")
+    distinct = scratch.materialize(made.groupBy("bits").agg(F.min("doc_id").alias("first")).withColumn("g", F.monotonically_increasing_id()), "distinct")
+    met = scratch.materialize(similar_links(distinct, similarity, distinct.count()), "met")
+    p = disagreement(similarity)
+    most = int(SKETCH_BITS * p + np.sqrt(SKETCH_BITS * p * (1 - p)))
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64) for i in (2, 3))
+            ok = np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= most
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], names=["u", "v"])
+
+    side = lambda name: distinct.select(F.col("g").alias(name), F.col("bits").alias(f"{name}_bits"))
+    links = met.join(side("u"), "u").join(side("v"), "v").select("u", "v", "u_bits", "v_bits").mapInArrow(confirm, "u long, v long")
+    members = scratch.materialize(components.connected_components(links).withColumnRenamed("node", "g"), "members")
+    named = scratch.materialize(members.join(distinct.select("g", "first"), "g").groupBy("component").agg(F.min("first").alias("component_id")), "named")
+    joint = scratch.materialize(members.join(named, "component").select("g", "component_id"), "joint")
+    classes = scratch.materialize(distinct.join(joint, "g", "left").select("bits", F.coalesce("component_id", "first").alias("component_id")), "classes")
+    return made.join(classes, "bits").select("doc_id", "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` without the documents whose group holds a smaller doc_id. Rows that share a doc_id are one document and stay or go together; rows with a null doc_id stay."""
+    groups = similar_documents(docs, words, similarity)
+    gone = scratch.materialize(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_doc_id")).distinct(), "gone")
+    return docs.join(gone, docs["doc_id"] == gone["gone_doc_id"], "left_anti")
