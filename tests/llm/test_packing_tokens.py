@@ -27,6 +27,16 @@ def test_cached_tokenizer_equals_library(texts):
     assert bpe.tokenizer(VOCAB).encode(texts) == [np.array(ids(t), "<u2").tobytes() for t in texts]
 
 
+def test_cached_tokenizer_while_its_table_grows_and_starts_anew(monkeypatch):
+    rng = np.random.default_rng(3)
+    tok = bpe.WordCachedTokenizer(VOCAB)
+    tok._table = bpe.PieceTable(4)
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 1_500)
+    for _ in range(12):
+        texts = [" ".join("".join(rng.choice(["an", "th", "é", "on", ",", "ing", "\n"], rng.integers(1, 5))) for _ in range(40)) for _ in range(20)]
+        assert tok.encode(texts) == [np.array(ids(t), "<u2").tobytes() for t in texts]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 3000), min_size=1, max_size=400).map(lambda x: np.array(x) ** 2 % 50_000))
 def test_huffman_round_trip(x):

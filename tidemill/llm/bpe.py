@@ -1,8 +1,9 @@
 """Byte-level BPE ids through the tokenizers library, with each distinct word encoded once per worker.
 
 The byte-level pre-tokenizer always breaks before white space that follows a non-space character, so a text can be
-cut there and its pieces encoded apart. Pieces repeat; a dictionary from piece to ids turns most of the work into
-look-ups. A text in which some cut would not be such a break goes to the library whole.
+cut there and its pieces encoded apart. Pieces repeat: numpy cuts and hashes the pieces of many texts at once, an
+open-addressing table from hash to ids answers for those seen before, and only new pieces go to the library. A text in
+which some cut would not be such a break goes to the library whole.
 """
 
 from __future__ import annotations
@@ -13,12 +14,15 @@ from array import array
 
 import numpy as np
 
-SPACE, NEWLINE = " ", "\n"
-#: Pieces kept per worker; at about 200 bytes each this bounds the memory, not the result.
-CACHE_PIECES = 1_000_000
+from tidemill.llm.hashing import BYTE_TABLE, range_hashes
+
+SPACE, NEWLINE, FIRST = " ", "\n", "\x01"
+#: Pieces kept per worker, at about 45 bytes each with their ids; beyond, the table starts anew. It bounds the memory, not the result.
+CACHE_PIECES = 2_000_000
+UNSAFE = 0xFFFF  # in place of a piece's number of ids: its text must be encoded whole
 _JOINED = 20_000  # pieces given to the library in one string
 #: A word of one letter run, perhaps followed by one mark: two pre-tokens at most, whatever stands around it.
-_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
 
 
 def _byte_char(b: int) -> str:
@@ -26,6 +30,68 @@ def _byte_char(b: int) -> str:
     return chr(256 + 33 + b - 127) if 127 <= b <= 160 else chr(256 + 33 + 34) if b == 173 else chr(b)
 
 
+class PieceTable:
+    """From a piece's hash and check value to its ids. Zero is no hash."""
+
+    def __init__(self, slots: int = 1 << 16):
+        self.count, self.used = 0, 0
+        self.flat = np.zeros(1 << 18, np.uint16)
+        self._make(slots)
+
+    def _make(self, slots: int) -> None:
+        self.mask = np.uint64(slots - 1)
+        self.keys, self.checks = np.zeros(slots, np.uint64), np.zeros(slots, np.uint32)
+        self.offsets, self.sizes = np.zeros(slots, np.int64), np.zeros(slots, np.uint16)
+
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """The slot of each key, -1 where it is new."""
+        out = np.full(len(keys), -1, np.int64)
+        slot, todo = (keys & self.mask).astype(np.int64), np.arange(len(keys))
+        while len(todo):
+            there = self.keys[slot]
+            hit = (there == keys[todo]) & (self.checks[slot] == checks[todo])
+            out[todo[hit]] = slot[hit]
+            on = ~hit & (there != 0)
+            todo, slot = todo[on], (slot[on] + 1) & int(self.mask)
+        return out
+
+    def _place(self, keys: np.ndarray, checks: np.ndarray, offsets: np.ndarray, sizes: np.ndarray) -> None:
+        slot, todo = (keys & self.mask).astype(np.int64), np.arange(len(keys))
+        while len(todo):
+            free = self.keys[slot] == 0
+            at, who = slot[free], todo[free]
+            # Of several that want one slot, the last to write it has it.
+            self.offsets[at] = who
+            won = self.offsets[at] == who
+            at, who = at[won], who[won]
+            self.keys[at], self.checks[at], self.sizes[at] = keys[who], checks[who], sizes[who]
+            self.offsets[at] = offsets[who]
+            left = np.ones(len(todo), bool)
+            left[np.flatnonzero(free)[won]] = False
+            todo, slot = todo[left], (slot[left] + 1) & int(self.mask)
+
+    def add(self, keys: np.ndarray, checks: np.ndarray, ids: list[bytes | None]) -> None:
+        """New keys, each once."""
+        sizes = np.array([UNSAFE if i is None else len(i) // 2 for i in ids], np.uint16)
+        raw = np.frombuffer(b"".join(i or b"" for i in ids), "<u2")
+        real = np.where(sizes == UNSAFE, 0, sizes).astype(np.int64)
+        offsets = self.used + np.cumsum(real) - real
+        while self.used + len(raw) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(raw)] = raw
+        self.used += len(raw)
+        self.count += len(keys)
+        if 2 * self.count > len(self.keys):
+            have = np.flatnonzero(self.keys)
+            old = self.keys[have], self.checks[have], self.offsets[have], self.sizes[have]
+            slots = len(self.keys)
+            while 2 * self.count > slots:
+                slots *= 2
+            self._make(slots)
+            self._place(*old)
+        self._place(keys, checks, offsets, sizes)
+
+
 class WordCachedTokenizer:
     """``encode(texts)`` gives each text's ids as little-endian uint16 bytes, equal to the library's own ids."""
 
@@ -48,86 +114,91 @@ class WordCachedTokenizer:
             starts[0, i] = token.startswith("Ġ")
             starts[1, i] = token.startswith("Ċ")
         self._starts = {SPACE: starts[0], NEWLINE: starts[1]}
-        # Space-led pieces under their own text; "\x00" leads those after a line feed, "\x01" the first of a text.
-        # A piece whose text must be encoded whole never enters.
-        self._cache: dict[str, bytes] = {}
-        self._older: dict[str, bytes] = {}
+        self._table = PieceTable()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self._lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _apart(self, pieces: list[str], lead: str) -> list[bytes]:
-        """Ids of pieces that each follow ``lead``, found from one encoding of many."""
+    def _apart(self, bodies: list[str], lead: str) -> list[bytes]:
+        """Ids of bodies that each follow ``lead``, found from one encoding of many."""
         out: list[bytes] = []
-        for i in range(0, len(pieces), _JOINED):
-            some = pieces[i : i + _JOINED]
+        for i in range(0, len(bodies), _JOINED):
+            some = bodies[i : i + _JOINED]
             ids = np.array(self._lib.encode_batch_fast([lead + lead.join(some)], add_special_tokens=False)[0].ids, "<u2")
             cuts = np.flatnonzero(self._starts[lead][ids])
             if len(cuts) == len(some):
                 raw, ends = ids.tobytes(), [*(2 * cuts[1:]).tolist(), 2 * len(ids)]
                 out += [raw[a:b] for a, b in zip((2 * cuts).tolist(), ends, strict=True)]
             else:
-                out += self._whole([lead + p for p in some])
+                out += self._whole([lead + b for b in some])
         return out
 
     def _plain(self, word: str, mark: str, lead: str) -> bytes:
         tokens = self._model.tokenize(lead + (word if word.isascii() else word.translate(self._letters)))
         return array("H", [t.id for t in tokens]).tobytes() + self._marks[mark]
 
-    def _learn(self, missing: set[str]) -> None:
-        spaced: list[str] = []
-        bare: dict[str, list[str]] = {}
-        for p in missing:
-            if m := _PLAIN.fullmatch(p):
-                self._cache[p] = self._plain(m[1], m[2], "Ġ")
-                continue
-            body = p[1:] if p[:1] in ("\x00", "\x01") else p
-            if body is not p and (m := _PLAIN.fullmatch(body)):
-                self._cache[p] = (self._newline if p[0] == "\x00" else b"") + self._plain(m[1], m[2], "")
-                continue
-            if not body or body[0].isspace() or body[-1].isspace() or "\x00" in body or "\x01" in body or any(s in body for s in self._special):
-                continue
-            elif body is p:
-                spaced.append(p)
-            else:
-                bare.setdefault(body, []).append(p)
-        self._cache.update(zip(spaced, self._apart(spaced, SPACE), strict=True))
-        for body, ids in zip(bare, self._apart(list(bare), NEWLINE), strict=True):
-            for p in bare[body]:
-                # A line feed before a letter is a token of its own, so what follows is the piece as a text's first.
-                self._cache[p] = ids if p[0] == "\x00" else ids[len(self._newline) :]
+    def _learn(self, pieces: list[str]) -> list[bytes | None]:
+        """Ids of pieces (a space, a line feed or, for a text's first, FIRST, and what follows); None where it cannot stand apart."""
+        out: list[bytes | None] = [None] * len(pieces)
+        spaced: list[int] = []
+        bare: list[int] = []
+        for k, p in enumerate(pieces):
+            lead, body = p[0], p[1:]
+            if m := _PLAIN.fullmatch(body):
+                # A line feed before a letter is a token of its own, so what follows is as a text's first piece.
+                ids = self._plain(m[1], m[2], "Ġ" if lead == SPACE else "")
+                out[k] = self._newline + ids if lead == NEWLINE else ids
+            elif body and not body[0].isspace() and not body[-1].isspace() and not any(s in body for s in self._special):
+                (spaced if lead == SPACE else bare).append(k)
+        for k, ids in zip(spaced, self._apart([pieces[k][1:] for k in spaced], SPACE), strict=True):
+            out[k] = ids
+        for k, ids in zip(bare, self._apart([pieces[k][1:] for k in bare], NEWLINE), strict=True):
+            out[k] = ids if pieces[k][0] == NEWLINE else ids[len(self._newline) :]
+        return [None if i is not None and len(i) // 2 >= UNSAFE else i for i in out]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut: list[tuple[list[str], list[bytes | None], list[int]] | None] = []
-        missing: set[str] = set()
-        known = self._cache.get
-        for t in texts:
-            if "\x00" in t or "\x01" in t:
-                cut.append(None)
-                continue
-            pieces = ("\x01" + t).replace("\n", " \x00").split(" ")
-            found = list(map(known, pieces))
-            gaps = [i for i, v in enumerate(found) if v is None] if None in found else []
-            missing.update([pieces[i] for i in gaps])
-            cut.append((pieces, found, gaps))
-        if missing:
-            if len(self._cache) + len(missing) > CACHE_PIECES // 2:
-                # What is still in use moves up from the older half as it is met.
-                self._cache, self._older = {}, self._cache
-            older = missing.intersection(self._older)
-            self._cache.update((p, self._older[p]) for p in older)
-            self._learn(missing - older)
-            known = self._cache.get
-        out: list[bytes] = []
-        for t, c in zip(texts, cut, strict=True):
-            if not t:
-                out.append(b"")
-                continue
-            if c is not None:
-                pieces, found, gaps = c
-                for i in gaps:
-                    found[i] = known(pieces[i])
-            out += self._whole([t]) if c is None or gaps and None in found else [b"".join(found)]
+        out: list[bytes | None] = [None] * len(texts)
+        cut = [k for k, t in enumerate(texts) if t and FIRST not in t]
+        if cut:
+            data = b"".join([b"\x01" + texts[k].encode("utf-8", "surrogatepass") for k in cut])
+            x = np.frombuffer(data, np.uint8)
+            starts = np.flatnonzero((x == 0x20) | (x == 0x0A) | (x == 0x01))
+            ends = np.append(starts[1:], len(x))
+            keys = range_hashes(BYTE_TABLE[x], starts, ends)
+            keys[keys == 0] = 1
+            # Length, first, middle and last bytes: two pieces of one hash would have to share these too.
+            size = ends - starts
+            checks = (size.astype(np.uint32) << np.uint32(24)) ^ (x[np.minimum(starts + 1, ends - 1)].astype(np.uint32) << np.uint32(16)) ^ (x[starts + size // 2].astype(np.uint32) << np.uint32(8)) ^ x[ends - 1]
+            if self._table.count > CACHE_PIECES:
+                self._table = PieceTable()
+            slot = self._table.find(keys, checks)
+            new = np.flatnonzero(slot < 0)
+            if len(new):
+                _, one = np.unique(keys[new], return_index=True)
+                one = new[one]
+                pieces = [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
+                mask = self._table.mask
+                self._table.add(keys[one], checks[one], self._learn(pieces))
+                if mask == self._table.mask:
+                    slot[new] = self._table.find(keys[new], checks[new])
+                else:  # the table has grown, and all slots are others
+                    slot = self._table.find(keys, checks)
+            t = self._table
+            sizes = np.where(slot < 0, UNSAFE, t.sizes[slot]).astype(np.int64)
+            first = np.flatnonzero(x[starts] == 0x01)
+            whole = np.logical_or.reduceat(sizes == UNSAFE, first)
+            sizes[sizes == UNSAFE] = 0
+            total = np.cumsum(sizes)
+            ids = t.flat[np.repeat(t.offsets[slot] - (total - sizes), sizes) + np.arange(total[-1])].astype("<u2").tobytes()
+            until = total[np.append(first[1:], len(starts)) - 1].tolist()
+            at = 0
+            for k, end, apart in zip(cut, until, (~whole).tolist(), strict=True):
+                if apart:
+                    out[k] = ids[2 * at : 2 * end]
+                at = end
+        for k, ids_of in enumerate(out):
+            if ids_of is None:
+                out[k] = self._whole([texts[k]])[0] if texts[k] else b""
         return out
 
 
@@ -141,7 +212,7 @@ def tokenizer(path: str) -> WordCachedTokenizer:
     return _made[path]
 
 
-def slices(texts: list[str | None], chars: int = 1_000_000):
+def slices(texts: list[str | None], chars: int = 400_000):
     """Runs of ``texts`` (None as empty) of about ``chars`` characters, as (start, list)."""
     start, some, n = 0, [], 0
     for i, t in enumerate(texts):

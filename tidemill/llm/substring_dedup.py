@@ -25,43 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm import scratch
+from tidemill.llm.hashing import BYTE_TABLE, WORD_BASE, range_hashes
 
 WINDOW = 50
 ANCHOR = 12
 CHUNK_WORDS = 200_000  # a longer document is walked in overlapping stretches; paths may be cut anywhere
 _SHIFT = 20  # a path's place is start << 20 | number of windows
 
-_BYTE, _WORD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd multipliers
-_TABLE = np.random.default_rng(12).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base ** 0..n-1 modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(12, (n - 1).bit_length())
-        with np.errstate(over="ignore"):
-            have = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, base, np.uint64))])
-        _powers[base] = have
-    return have[:n]
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
-
-
-def _ranges(values: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of values[s:e] for each range, from running sums of values times powers."""
-    inverse = pow(base, -1, 1 << 64)
-    with np.errstate(over="ignore"):
-        total = np.concatenate([[np.uint64(0)], np.cumsum(values * _power(base, len(values)))])
-        return _mixed((total[ends] - total[starts]) * _power(inverse, len(values) + 1)[starts])
-
-
 def joined_words(text: str | None) -> bytes:
     """The words of a text (runs of bytes other than ASCII white space), one space between."""
     return b" ".join((text or "").encode("utf-8", "surrogatepass").split())
@@ -76,14 +46,14 @@ def word_bounds(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def _word_hashes(joined: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     first = int(starts[0])
-    data = _TABLE[np.frombuffer(joined, np.uint8)[first : int(ends[-1])]]
-    return _ranges(data, _BYTE, starts - first, ends - first)
+    data = BYTE_TABLE[np.frombuffer(joined, np.uint8)[first : int(ends[-1])]]
+    return range_hashes(data, starts - first, ends - first)
 
 
 def window_hashes(joined: bytes, starts: np.ndarray, ends: np.ndarray, window: int) -> np.ndarray:
     words = _word_hashes(joined, starts, ends)
     at = np.arange(len(words) - window + 1)
-    return _ranges(words, _WORD, at, at + window)
+    return range_hashes(words, at, at + window, WORD_BASE)
 
 
 def minimizers(joined: bytes, starts: np.ndarray, ends: np.ndarray, window: int, anchor: int) -> np.ndarray:
