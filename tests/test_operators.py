@@ -16,7 +16,7 @@ from tidemill.operators import metrics as M
 from tidemill.operators import windows
 from tidemill.operators.prep import BooleanLabelIndexer, FixedOrderStringIndexer, IndexToStringIfNeeded, IndexVectorizer, VectorHead, index_strings, input_size, join_by_order, output_size, prepare_features
 from tidemill.operators.reservoir import Network, ReservoirSpec, ReservoirStates, reservoir
-from tidemill.operators.results import IOSpec, RegressionSetting, Results, RunResult, RunSpec, ServiceSetting, TemporalSetting
+from tidemill.operators.results import ClassificationSetting, IOSpec, RegressionSetting, Results, RunResult, RunSpec, ServiceSetting, TemporalSetting
 from tidemill.operators.sampling import Sampling, choose_split, forward_chain_splits, random_split, seq_split
 from tidemill.operators.scaling import ColumnNormNormalizer, in_place_pca, numeric_scaler_in_place, transformed, vector_scaler, vector_scaler_in_place
 from tidemill.operators.service import LearningService, kernel_size
@@ -292,6 +292,15 @@ def test_regression_service(spark):
         Results(metrics={"rmse": [{"test": 1.0}]}).stats()
 
 
+def test_sampling_thins_training_rows_only(spark):
+    rows = [(float(k % 2), Vectors.dense(k % 2 + (k % 5) / 10)) for k in range(200)]
+    df = index_strings(spark.createDataFrame(rows, ["y", "features"]).withColumn("label", F.col("y").cast("string")).drop("y"), [("label", ["0.0", "1.0"])])
+    setting = ClassificationSetting(sampling_ratios=[("1.0", 0.5)], collect_outputs=True)
+    res = LearningService(ServiceSetting(seed=2)).classify(df, L.LogisticRegression(max_iteration=5), setting)
+    assert len(res.outputs[0]["test"]) == res.counts[0][1] and len(res.outputs[0]["training"]) == res.counts[0][0]
+    assert res.curves[0]["test"]["roc"][0] == (0.0, 0.0) and res.stats()["areaUnderROC"]["test"].mean == 1.0
+
+
 def test_temporal_service_and_kernel_sizes(spark):
     setting = TemporalSetting(core=RegressionSetting(split_ratio=0.8), sliding_window=7)
     res = LearningService().regress_time_series(line(spark), L.LinearRegression(), setting)

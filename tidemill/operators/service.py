@@ -113,6 +113,14 @@ def evaluate_safely(evaluators: dict, frames: dict[str, DataFrame]) -> dict[str,
     return out
 
 
+def without_sampling(model):
+    """The fitted model, its sampling stages letting everything pass: what is judged is not thinned as training rows are."""
+    for stage in getattr(getattr(model, "bestModel", model), "stages", []):
+        if isinstance(stage, Sampling):
+            stage._set(training=False)
+    return model
+
+
 def collect_outputs(df: DataFrame, whole: bool, order: str = "index") -> list[tuple]:
     """(label, prediction) pairs, in order if there is an order column."""
     kind = int if whole else float
@@ -195,7 +203,7 @@ class LearningService:
 
         def once(k: int):
             train, test = split(df) if split else random_split(df, setting.split_ratio or 0.8, self.setting.seed + k)
-            model = trainer.fit(train)
+            model = without_sampling(trainer.fit(train))
             frames = {"training": model.transform(train), "test": predict(model, df, test)}
             if replication is not None:
                 frames["replication"] = model.transform(replication)
