@@ -31,7 +31,8 @@ RATE = 0.05
 #: A bounded sample of labelled rows is learned from: this many at most, those of the smallest hash of doc_id.
 SAMPLE_ROWS = 6_000
 SCALE = 100.0  # texts are long: a few telling words are a small part of the average
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 17
+BATCH_ROWS = 256
 FOLDS, HELD_OUT = 5, 0
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -177,6 +178,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     return train(sample["text"].to_pylist(), sample["toxic"].to_pylist())
 
 
+def _scored(model: ToxicityModel, texts: pa.Array) -> np.ndarray:
+    """Scores of a column, a few hundred texts in memory at a time."""
+    parts = [model.scores(texts.slice(k, BATCH_ROWS).to_pylist()) for k in range(0, len(texts), BATCH_ROWS)]
+    return np.concatenate([np.zeros(0), *parts])
+
+
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of ``docs`` (doc_id, text).
 
@@ -188,7 +195,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = shared.value.scores(batch.column(1).to_pylist())
+            score = _scored(shared.value, batch.column(1))
             held = [i is None or zlib.crc32(str(i).encode()) % FOLDS == HELD_OUT for i in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.bool_()), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -203,6 +210,6 @@ def keep_clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(shared.value.scores(batch.column(at).to_pylist()) < 0.5))
+            yield batch.filter(pa.array(_scored(shared.value, batch.column(at)) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
