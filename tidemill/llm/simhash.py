@@ -175,7 +175,11 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = R
 SKETCH_BITS = 512
 PASS_BITS = 128  # of the sketch, carried along to judge what meets
 TARGET_RECALL = 0.98
-SMALL_GROUP = 32
+SMALL_GROUP = 32  # up to this size all pairs of a group are compared at once, beyond it a forest is grown
+LOOSE_SIGMAS = 3  # what meets is let through up to so many standard deviations over the mean
+#: Sets of few shingles differ in more bits than the limit for large sets says: 3/16 for 4 of 5 shared, the worst at 0.8.
+SHORT_SHINGLES, SHORT_DISAGREEMENT = 16, 0.1875
+BLOCK_DOCUMENTS = 256  # of a loose group that are compared with as many others in one piece
 _SPREAD = np.array([2 * k + 1 for k in np.random.default_rng(64).integers(1 << 60, 1 << 62, SKETCH_BITS // 64).tolist()], np.uint64)
 
 
@@ -184,13 +188,13 @@ def disagreement(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def sketch(text: str | None, words: int) -> bytes:
-    """A SimHash of ``SKETCH_BITS`` bits over the text's ``words``-word shingles, A-Z lower-cased; zero bits for no words."""
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of the text's ``words``-word shingles, A-Z lower-cased; a shorter text is one shingle, no words are none."""
     import xxhash
 
     joined = b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
     if not joined:
-        return bytes(SKETCH_BITS // 8)
+        return np.zeros(0, np.uint64)
     gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     digest = xxhash.xxh3_64_digest
     if len(gaps) + 1 <= words:
@@ -199,7 +203,11 @@ def sketch(text: str | None, words: int) -> bytes:
         starts = [0, *(gaps[: len(gaps) - words + 2] + 1).tolist()]
         ends = [*gaps[words - 1 :].tolist(), len(joined)]
         hashes = b"".join([digest(joined[a:b]) for a, b in zip(starts, ends, strict=False)])
-    h = np.frombuffer(hashes, np.uint64)
+    return np.unique(np.frombuffer(hashes, np.uint64))
+
+
+def set_sketch(h: np.ndarray) -> bytes:
+    """A SimHash of ``SKETCH_BITS`` bits over a set of shingles; zero bits for none."""
     total = np.zeros(SKETCH_BITS, np.int64)
     for i in range(0, len(h), 16_384):
         with np.errstate(over="ignore"):
@@ -209,10 +217,14 @@ def sketch(text: str | None, words: int) -> bytes:
     return np.packbits(2 * total > len(h)).tobytes()
 
 
-def tables_for(n: int, similarity: float, recall: float = TARGET_RECALL) -> tuple[int, int]:
-    """(bits, tables): key bits that keep random company small among n sketches, and tables that reach the recall."""
+def sketch(text: str | None, words: int) -> bytes:
+    """A SimHash of ``SKETCH_BITS`` bits over the set of the text's ``words``-word shingles; zero bits for no words."""
+    return set_sketch(shingle_set(text, words))
+
+
+def tables_for(n: int, p: float, recall: float = TARGET_RECALL) -> tuple[int, int]:
+    """(bits, tables): key bits that keep random company small among n sketches, and tables in which pairs that differ in a share p of their bits meet with the recall."""
     bits = int(np.clip(np.ceil(np.log2(max(n, 1))) + 2, 12, 32))
-    p = disagreement(similarity)
     meets = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1) + bits * (bits - 1) / 2 * p * p * (1 - p) ** (bits - 2)
     return bits, int(np.ceil(np.log(1 - recall) / np.log(1 - meets)))
 
@@ -246,26 +258,32 @@ def _group_links(g: np.ndarray, f: np.ndarray, most: int) -> tuple[np.ndarray, n
 
 
 def similar_links(sketches: DataFrame, similarity: float, n: int) -> DataFrame:
-    """(u, v) pairs among distinct sketches (g, bits) that met in some table and are alike by their carried bits."""
-    bits, tables = tables_for(n, similarity)
+    """(u, v) links among sketched sets (g, size, bits) whose components are those of all pairs that met in some table and may be alike by their carried bits.
+
+    Sets of few shingles meet in further tables, made for the larger share of bits in which they may differ.
+    """
+    p = disagreement(similarity)
+    bits, common = tables_for(n, p)
+    tables = common + tables_for(n, max(p, SHORT_DISAGREEMENT))[1]
     rng = np.random.default_rng(9)
     chosen = np.stack([rng.permutation(SKETCH_BITS - PASS_BITS)[:bits] for _ in range(tables)]) + PASS_BITS
     masks = ball(bits, 1).view(np.int64)
-    p = disagreement(similarity)
-    most = int(PASS_BITS * p + 2.5 * np.sqrt(PASS_BITS * p * (1 - p)))
+    most, most_short = (int(PASS_BITS * x + LOOSE_SIGMAS * np.sqrt(PASS_BITS * x * (1 - x))) for x in (p, max(p, SHORT_DISAGREEMENT)))
     weights = 1 << np.arange(bits, dtype=np.int64)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(ids), -1)
+            ids, short = batch.column(0).to_numpy(), batch.column(1).to_numpy() <= SHORT_SHINGLES
+            raw = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)
             for at in range(0, len(ids), 8_192):
                 g, part = ids[at : at + 8_192], raw[at : at + 8_192]
                 ones = np.unpackbits(part, axis=1)
                 f = np.ascontiguousarray(part[:, : PASS_BITS // 8]).view(np.int64)
-                row = np.repeat(np.arange(len(g)), len(masks))
+                every, few = np.arange(len(g)), np.flatnonzero(short[at : at + 8_192])
                 for t in range(tables):
-                    key = ones[:, chosen[t]] @ weights
+                    use = every if t < common else few
+                    row = np.repeat(use, len(masks))
+                    key = ones[use[:, None], chosen[t]] @ weights
                     key = (key[:, None] ^ masks[None, :]).ravel() | t << 33
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(g[row]), pa.array(f[row, 0]), pa.array(f[row, 1])], names=["key", "g", "f0", "f1"])
 
@@ -280,12 +298,12 @@ def similar_links(sketches: DataFrame, similarity: float, n: int) -> DataFrame:
             us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for d in range(1, min(SMALL_GROUP, int(size.max()))):
                 i = np.flatnonzero((key[:-d] == key[d:]) & (size[d:] <= SMALL_GROUP))
-                i = i[_pass_distance(f[i], f[i + d]) <= most]
+                i = i[_pass_distance(f[i], f[i + d]) <= np.where(key[i] >> 33 < common, most, most_short)]
                 us.append(g[i])
                 vs.append(g[i + d])
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                 if e - s > SMALL_GROUP:
-                    u, v = _group_links(g[s:e], f[s:e], most)
+                    u, v = _group_links(g[s:e], f[s:e], most if key[s] >> 33 < common else most_short)
                     us.append(u)
                     vs.append(v)
             pairs = np.stack([np.concatenate(us), np.concatenate(vs)], 1)
@@ -305,43 +323,128 @@ def similar_links(sketches: DataFrame, similarity: float, n: int) -> DataFrame:
         if held is not None and len(held[0]):
             yield links(*held)
 
-    met = sketches.select("g", "bits").mapInArrow(emit, "key long, g long, f0 long, f1 long")
+    met = sketches.select("g", "size", "bits").mapInArrow(emit, "key long, g long, f0 long, f1 long")
     return met.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "u long, v long").distinct()
 
 
+def alike(shared: np.ndarray, a: np.ndarray | int, b: np.ndarray | int, similarity: float) -> np.ndarray:
+    """Whether sets of a and b elements with so many shared have that Jaccard similarity or more."""
+    return shared >= similarity * (a + b - shared) - 1e-9
+
+
+def exact_forest(sets: list[np.ndarray], similarity: float, sides: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (root, member) of a spanning forest of the sets whose exact Jaccard similarity reaches ``similarity``; with ``sides``, over pairs of two sides only."""
+    sizes = np.array([len(x) for x in sets])
+    flat, at = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    inside = np.zeros(len(flat), bool)
+    left = np.ones(len(sets), bool)
+    roots, members = [], []
+    for root in range(len(sets)):
+        queue = [root] if left[root] else []
+        left[root] = False
+        while queue and left.any():
+            one = queue.pop()
+            mine = at[starts[one] : starts[one + 1]]
+            inside[mine] = True
+            shared = np.bincount(owner[inside[at]], minlength=len(sets))
+            inside[mine] = False
+            near = left & alike(shared, sizes, sizes[one], similarity)
+            if sides is not None:
+                near &= sides != sides[one]
+            found = np.flatnonzero(near)
+            queue += found.tolist()
+            roots.append(np.full(len(found), root))
+            members.append(found)
+            left[found] = False
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *roots]), np.concatenate([none, *members])
+
+
+def exact_links(loose: DataFrame, similarity: float) -> DataFrame:
+    """(u, v) links whose components are those of all pairs of one loose group with exact similarity, from (component, g, shingles).
+
+    A group is cut into blocks, and every pair of blocks is compared in a piece of its own.
+    """
+    sizes = scratch.materialize(loose.groupBy("component").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK_DOCUMENTS).cast("int")), "loose")
+    own = F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int")
+    dealt = loose.join(sizes, "component").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "g", "shingles")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def results(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            head = np.stack([table[c].to_numpy().astype(np.int64) for c in ("component", "x", "y")], 1)
+            new = np.flatnonzero((head[1:] != head[:-1]).any(1)) + 1
+            g, side = table["g"].to_numpy(), table["own"].to_numpy()
+            us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for s, e in zip([0, *new.tolist()], [*new.tolist(), len(table)], strict=True):
+                if e - s < 2:
+                    continue
+                sets = [np.frombuffer(b, np.uint64) for b in table["shingles"].slice(s, e - s).to_pylist()]
+                u, v = exact_forest(sets, similarity, side[s:e] if head[s, 1] != head[s, 2] else None)
+                us.append(g[s:e][u])
+                vs.append(g[s:e][v])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            head = np.stack([held[c].to_numpy().astype(np.int64) for c in ("component", "x", "y")], 1)
+            cut = np.flatnonzero((head != head[-1]).any(1))
+            if len(cut):
+                yield from results(held.slice(0, int(cut[-1]) + 1))
+                held = held.slice(int(cut[-1]) + 1)
+        if held is not None and len(held):
+            yield from results(held)
+
+    return dealt.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y").mapInArrow(compare, "u long, v long")
+
+
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) for every row of ``docs`` (doc_id, text): groups of documents at the similarity or above.
 
-    Similarity is that of the sets of ``words``-word shingles, told from sketches of 512 bits (a standard error of
-    about 0.03). The sketch's bits are dealt into tables; in each, every sketch emits all variants within one bit of
-    its key, half of the two bits by which a pair may differ there. Null and empty texts are alike. A null doc_id
-    belongs to its group but never names it.
+    Similarity is that of the sets of ``words``-word shingles. Sketches of 512 bits say which sets may be alike: their
+    bits are dealt into tables; in each, every sketch emits all variants within one bit of its key, half of the two
+    bits by which a pair may differ there. What meets and is not far apart forms loose groups, and within these the
+    shingle sets themselves decide, every pair of them. Null and empty texts are alike. A null doc_id belongs to its
+    group but never names it.
     """
+    import xxhash
+
     scratch.prepare(docs)
+    # A row is found again by its id and the hash of its text.
+    given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumns({"d": F.coalesce("doc_id", F.lit(0)), "h": F.xxhash64("text")})
+    name = lambda s: xxhash.xxh3_128_digest(s.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sketch(t.as_py(), words) for t in batch.column(1)], pa.binary())], names=["doc_id", "bits"])
+            sets = [shingle_set(t.as_py(), words) for t in batch.column(3)]
+            made = [pa.array([name(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_sketch(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["doc_id", "d", "h", "name", "size", "bits"])
 
-    made = scratch.materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, bits binary"), "sketches")
-    distinct = scratch.materialize(made.groupBy("bits").agg(F.min("doc_id").alias("first")).withColumn("g", F.monotonically_increasing_id()), "distinct")
-    met = scratch.materialize(similar_links(distinct, similarity, distinct.count()), "met")
-    p = disagreement(similarity)
-    most = int(SKETCH_BITS * p + np.sqrt(SKETCH_BITS * p * (1 - p)))
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64) for i in (2, 3))
-            ok = np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= most
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], names=["u", "v"])
-
-    side = lambda name: distinct.select(F.col("g").alias(name), F.col("bits").alias(f"{name}_bits"))
-    links = met.join(side("u"), "u").join(side("v"), "v").select("u", "v", "u_bits", "v_bits").mapInArrow(confirm, "u long, v long")
+            sets = [shingle_set(t.as_py(), words) for t in batch.column(3)]
+            same = pa.array([name(s) == k.as_py() for s, k in zip(sets, batch.column(2), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([c.filter(same) for c in (batch.column(0), batch.column(1), pa.array([s.tobytes() for s in sets], pa.binary()))], names=["component", "g", "shingles"])
+
+    made = scratch.materialize(given.select("doc_id", "d", "h", "text").mapInArrow(run, "doc_id long, d long, h long, name binary, size long, bits binary"), "sketches")
+    distinct = made.groupBy("name", "size", "bits").agg(F.min("doc_id").alias("first"), F.min(F.struct("d", "h")).alias("row"))
+    distinct = scratch.materialize(distinct.select("name", "size", "bits", "first", "row.d", "row.h").withColumn("g", F.monotonically_increasing_id()), "distinct")
+    loose = components.connected_components(similar_links(distinct.where("size > 0"), similarity, distinct.count())).withColumnRenamed("node", "g")
+    asked = scratch.materialize(loose.join(distinct.select("g", "name", "d", "h"), "g"), "asked")
+    sets = asked.join(given.select("d", "h", "text"), ["d", "h"]).select("component", "g", "name", "text").mapInArrow(shingles, "component long, g long, shingles binary")
+    links = exact_links(scratch.materialize(sets.dropDuplicates(["g"]), "sets"), similarity)
     members = scratch.materialize(components.connected_components(links).withColumnRenamed("node", "g"), "members")
     named = scratch.materialize(members.join(distinct.select("g", "first"), "g").groupBy("component").agg(F.min("first").alias("component_id")), "named")
     joint = scratch.materialize(members.join(named, "component").select("g", "component_id"), "joint")
-    classes = scratch.materialize(distinct.join(joint, "g", "left").select("bits", F.coalesce("component_id", "first").alias("component_id")), "classes")
-    return made.join(classes, "bits").select("doc_id", "component_id")
+    classes = scratch.materialize(distinct.join(joint, "g", "left").select("name", F.coalesce("component_id", "first").alias("component_id")), "classes")
+    return made.join(classes, "name").select("doc_id", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
