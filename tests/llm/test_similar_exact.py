@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from tidemill.llm import simhash
 
 
@@ -71,3 +73,19 @@ def test_short_texts(spark):
     assert sum(got[i] == want[i] for i in got) >= 0.97 * len(got)
     assert all(got[10 * i + 2] == 10 * i + 2 and got[10 * i + 3] == 10 * i + 3 for i in range(40))
 
+
+@pytest.mark.parametrize(("small", "block"), [(2, 16), (32, 256)])
+def test_large_families_equal_all_pairs(monkeypatch, spark, small, block):
+    # copies of two bases, many at the edge of the threshold from each other: components must be those of all pairs
+    monkeypatch.setattr(simhash, "SMALL_GROUP", small)
+    monkeypatch.setattr(simhash, "BLOCK_DOCUMENTS", block)
+    rng, rows = random.Random(8), []
+    for b in range(2):
+        base = fresh(rng, 150)
+        for c in range(60):
+            copy = list(base)
+            for at in rng.sample(range(150), rng.choice([0, 1, 2, 3, 4, 5])):
+                copy[at] = fresh(rng, 1)[0]
+            rows.append((100 * b + c, " ".join(copy)))
+    got, want = groups(spark, rows), exact_groups(rows)
+    assert len(set(want.values())) > 2 and got == want

@@ -234,8 +234,8 @@ def _pass_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _group_links(g: np.ndarray, f: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one large group: a spanning forest by breadth, each member to the one that reached it, and each member to its nearest."""
-    left, us, vs = np.arange(len(g)), [], []
+    """Links of a spanning forest of one large group, each member to the one that reached it."""
+    left, us, vs = np.arange(len(g)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
@@ -246,14 +246,6 @@ def _group_links(g: np.ndarray, f: np.ndarray, most: int) -> tuple[np.ndarray, n
             us.append(np.full(len(found), at))
             vs.append(found)
             left = left[~near]
-    for at in range(0, len(g), 256):
-        part = np.arange(at, min(at + 256, len(g)))
-        d = _pass_distance(f[part][:, None, :], f[None, :, :])
-        d[np.arange(len(part)), part] = PASS_BITS + 1
-        best = d.argmin(1)
-        ok = d[np.arange(len(part)), best] <= most
-        us.append(part[ok])
-        vs.append(best[ok])
     return g[np.concatenate(us)], g[np.concatenate(vs)]
 
 
