@@ -6,6 +6,8 @@ and redundancy. An inverted index from token to rule finds the rules whose token
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +17,6 @@ from tidemill.llm import scratch
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.9
 MAX_TOKENS = 3  # tokens of a mined rule
-#: What mining sees of one URL; a label joins these. Matching looks at all tokens of a URL.
-MINED_HOST, MINED_PATH, MINED_QUERY = 4, 4, 3
 DEFAULT = "allow"
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -55,14 +55,11 @@ def _named(prefix: str, parts: Column) -> Column:
     return F.transform(F.filter(parts, lambda x: x != ""), shape)
 
 
-def tokens(url: Column, mined: bool = False) -> Column:
+def tokens(url: Column) -> Column:
     """Host labels, path segments and query names of a URL, digits folded, each once."""
     host, path = F.split(host_of(url), r"\."), F.split(path_of(url), "/")
     names = F.transform(F.split(query_of(url), "&"), lambda x: F.regexp_extract(x, "^[^=]*", 0))
     kinds = [_named("host:", host), _named("path:", path), _named("query:", names)]
-    if mined:
-        # The last labels of a host and the first segments and names: a bounded transaction.
-        kinds = [F.reverse(F.slice(F.reverse(kinds[0]), 1, MINED_HOST)), F.slice(kinds[1], 1, MINED_PATH), F.slice(kinds[2], 1, MINED_QUERY)]
     return F.array_distinct(F.concat(*kinds))
 
 
@@ -73,9 +70,17 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     """
     spark = labelled.sparkSession
     shape = "rule_id long, tokens array<string>, label string, confidence double, support double"
-    data = labelled.where("url IS NOT NULL AND label IS NOT NULL").select(F.array_append(tokens(F.col("url"), mined=True), F.concat(F.lit("label="), F.col("label"))).alias("items"))
-    if data.isEmpty():
+    known = labelled.where("url IS NOT NULL AND label IS NOT NULL").select(tokens(F.col("url")).alias("items"), F.concat(F.lit("label="), F.col("label")).alias("label"))
+    known = scratch.materialize(known.withColumn("row", F.monotonically_increasing_id()), "labelled")
+    count = known.count()
+    if not count:
         return spark.createDataFrame([], shape)
+    # A token below the support stands in no rule: without it transactions are small and lose nothing.
+    each = known.select("row", F.explode("items").alias("token"))
+    common = scratch.materialize(each.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= math.ceil(min_support * count)).select("token"), "common")
+    seen = scratch.materialize(each.join(common, "token").groupBy("row").agg(F.collect_list("token").alias("items")), "transactions")
+    left = known.select("row", "label").join(seen, "row", "left")
+    data = left.select(F.array_append(F.coalesce("items", F.array().cast("array<string>")), F.col("label")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(data)
     label = F.col("consequent")[0]
     rules = model.associationRules.where(label.startswith("label=") & (F.size("antecedent") <= max_tokens)).where(~F.exists("antecedent", lambda x: x.startswith("label=")))
