@@ -1,18 +1,20 @@
 """Licence notices in texts, by conditional compression.
 
-Lines that name a licence or its usual terms form candidate blocks. Each block is compressed alone and with every
-template as a zstandard raw-content dictionary; the template that shrinks it most is the likely licence. A winner is
-confirmed by its wording: word by word, the block must hold one of the template's notices with few words changed, and
-none that carries a number or tells variants of a licence apart.
+The text around words that name a licence or its usual terms forms candidate blocks, whatever lines it stands on. In
+them every notice that few words turn into a part of the block is confirmed by its wording: word by word, with few
+words changed, and none that carries a number or tells variants of a licence apart. Each place is compressed alone and
+with its licence's template as a zstandard raw-content dictionary; the reduction is that of the notice's own place.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -72,14 +74,16 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "SPDX-License-Identifier: MPL-2.0",
     ),
 }
-TRIGGERS = ("licens", "licenc", "permission is hereby", "spdx-", "creative commons", "redistribution and use", "mozilla public", "gnu g", "cc by")
+#: White space and comment marks may stand between the words of a trigger.
+TRIGGER = re.compile(r"licen[sc]|permission[\W_]+(?:is[\W_]+hereby|to[\W_]+use)|spdx-|creative[\W_]+commons|redistribution[\W_]+and[\W_]+use|mozilla[\W_]+public|gnu[\W_]+g|cc[\W_]+by", re.IGNORECASE)
+_FIRST = ("licens", "licenc", "permission", "spdx-", "creative", "redistribution", "mozilla", "gnu", "cc")
 # Words that tell licences or their variants apart.
-TELLING = frozenset("apache bsd mit gnu gpl lgpl mpl lesser mozilla cc by attribution noncommercial sharealike nc sa nd".split())
+TELLING = frozenset("apache bsd mit gnu gpl lgpl agpl affero isc epl eclipse unlicense mpl lesser mozilla cc by attribution noncommercial sharealike nc sa nd".split())
 MOST_CHANGED = 0.2  # share of a notice's words
-LEAST_REDUCTION = 0.2
 LEVEL = 3
 
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
+REACH = 2 * max(len(n) for v in TEMPLATES.values() for n in v)  # code points around a trigger; twice a notice leaves room for comment marks
 
 
 def words(text: str) -> list[str]:
@@ -119,38 +123,75 @@ def wording(block: list[str], notice: list[str]) -> list[str] | None:
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
-    """(start, end) in code points of runs of lines that name a licence or its terms."""
+    """(start, end) in code points of the text around triggers, as far as the longest notice reaches; what overlaps is one block."""
     low = text.lower()
-    if not any(t in low for t in TRIGGERS):
+    if not any(t in low for t in _FIRST):
         return []
     out: list[tuple[int, int]] = []
-    at = 0
-    joined = False
-    for line in text.split("\n"):
-        low = line.lower()
-        if any(t in low for t in TRIGGERS):
-            out[-1:] = [(out[-1][0], at + len(line))] if joined else [*out[-1:], (at, at + len(line))]
-            joined = True
-        else:
-            joined = False
-        at += len(line) + 1
+    for m in TRIGGER.finditer(text):
+        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+        out[-1:] = [(out[-1][0], b)] if out and a <= out[-1][1] else [*out[-1:], (a, b)]
     return out
 
 
+@lru_cache(maxsize=1)
+def _notices() -> list[tuple[str, list[str], Counter, int]]:
+    """(licence, words, their counts, most words changed) of every notice."""
+    return [(k, words(n), Counter(words(n)), int(MOST_CHANGED * len(words(n)))) for k, v in TEMPLATES.items() for n in v]
+
+
+def places(block: np.ndarray, notice: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """(start, end) of the parts of the block that the notice turns into by at most ``most`` words left out or put in, the closest of those that overlap."""
+    m, along = len(block), np.arange(len(block) + 1)
+    cost, begin = np.zeros(m + 1, np.int64), along.copy()
+    for i, word in enumerate(notice, 1):
+        new, come = cost + 1, begin.copy()
+        hit = np.flatnonzero(block == word) + 1
+        same = hit[cost[hit - 1] < new[hit]]
+        new[same], come[same] = cost[same - 1], begin[same - 1]
+        # words put in: the best to the left, the farthest of equals, a change for each word since
+        rest = (new - along) * (m + 1) + along
+        best = np.minimum.accumulate(rest) % (m + 1)
+        cost, begin = new[best] - best + along, come[best]
+    out: list[tuple[int, int, int]] = []
+    for e in np.flatnonzero(cost <= most).tolist():
+        s, c = int(begin[e]), int(cost[e])
+        if out and s < out[-1][1]:
+            if c < out[-1][2]:
+                out[-1] = (s, e, c)
+        else:
+            out.append((s, e, c))
+    return [(s, e) for s, e, _ in out if e > s]
+
+
 def scan(text: str | None) -> list[dict]:
-    """Confirmed notices of a text, in order: start, end, license, reduction and differences (words changed, in order)."""
-    found = []
-    for start, end in blocks(text or ""):
-        block = text[start:end]
-        parts = words(block)
-        for size, name in reductions(block):
-            if size < LEAST_REDUCTION:
-                break
-            changes = [c for c in (wording(parts, words(n)) for n in TEMPLATES[name]) if c is not None]
-            if changes:
-                best = min(changes, key=len)
-                found.append({"start": start, "end": end, "license": name, "reduction": round(size, 4), "n_changed": len(best), "changes": " ".join(best)})
-                # A block may hold further notices; one that only shares words with this one is not confirmed by its own.
+    """Confirmed notices of a text, in order: start and end of their lines, license, reduction and differences (words changed, in order)."""
+    text, found = text or "", []
+    for start, end in blocks(text):
+        spans = [(m[0].lower(), start + m.start(), start + m.end()) for m in _WORD.finditer(text[start:end])]
+        block = [w for w, _, _ in spans]
+        number: dict[str, int] = {}
+        coded = np.array([number.setdefault(w, len(number)) for w in block], np.int64)
+        have = Counter(block)
+        here: list[tuple[int, int, str, list[str]]] = []
+        for name, notice, count, most in _notices():
+            # Words that the block lacks are changes wherever the notice stands.
+            if (count - have).total() > most:
+                continue
+            for s, e in places(coded, np.array([number.get(w, -1) for w in notice]), most):
+                changes = wording(block[s:e], notice)
+                if changes is not None:
+                    here.append((s, e, name, changes))
+        # Of one licence's notices that overlap the least changed tells, then the longest.
+        kept: list[tuple[int, int, str, list[str]]] = []
+        for s, e, name, changes in sorted(here, key=lambda x: (len(x[3]), x[0] - x[1], x[0])):
+            if not any(name == k and s < y and x < e for x, y, k, _ in kept):
+                kept.append((s, e, name, changes))
+        for s, e, name, changes in sorted(kept, key=lambda x: (x[0], x[2])):
+            a, b = spans[s][1], spans[e - 1][2]
+            size = next(r for r, k in reductions(text[a:b]) if k == name)
+            stop = text.find("\n", b)
+            found.append({"start": text.rfind("\n", 0, a) + 1, "end": len(text) if stop < 0 else stop, "license": name, "reduction": round(size, 4), "n_changed": len(changes), "changes": " ".join(changes)})
     return found
 
 
