@@ -24,6 +24,11 @@ from tidemill.llm import scratch
 
 # Licence notices as they are commonly worded.
 TEMPLATES: dict[str, tuple[str, ...]] = {
+    "AGPL-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+    ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
@@ -50,16 +55,30 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     ),
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+        "SPDX-License-Identifier: EPL-2.0",
+    ),
     "GPL-2.0": (
+        "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
         "This work is licensed under the GNU General Public License, version 2.",
         "Released under the GNU GPL v2.",
         "SPDX-License-Identifier: GPL-2.0-only",
     ),
     "GPL-3.0": (
+        "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "This work is licensed under the GNU General Public License, version 3.",
         "Released under the GNU GPL v3.",
         "SPDX-License-Identifier: GPL-3.0-only",
     ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "SPDX-License-Identifier: ISC",
+    ),
+    "LGPL-2.1": (
+        "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: LGPL-2.1-only",
+    ),
     "LGPL-3.0": (
         "This work is licensed under the GNU Lesser General Public License, version 3.",
         "SPDX-License-Identifier: LGPL-3.0-only",
@@ -73,10 +92,14 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
     ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "SPDX-License-Identifier: Unlicense",
+    ),
 }
 #: White space and comment marks may stand between the words of a trigger.
-TRIGGER = re.compile(r"licen[sc]|permission[\W_]+(?:is[\W_]+hereby|to[\W_]+use)|spdx-|creative[\W_]+commons|redistribution[\W_]+and[\W_]+use|mozilla[\W_]+public|gnu[\W_]+g|cc[\W_]+by", re.IGNORECASE)
-_FIRST = ("licens", "licenc", "permission", "spdx-", "creative", "redistribution", "mozilla", "gnu", "cc")
+TRIGGER = re.compile(r"licen[sc]|permission[\W_]+(?:is[\W_]+hereby|to[\W_]+use)|spdx-|creative[\W_]+commons|redistribution[\W_]+and[\W_]+use|mozilla[\W_]+public|gnu[\W_]+g|cc[\W_]+by|unencumbered", re.IGNORECASE)
+_FIRST = ("licens", "licenc", "permission", "spdx-", "creative", "redistribution", "mozilla", "gnu", "cc", "unencumbered")
 # Words that tell licences or their variants apart.
 TELLING = frozenset("apache bsd mit gnu gpl lgpl agpl affero isc epl eclipse unlicense mpl lesser mozilla cc by attribution noncommercial sharealike nc sa nd".split())
 MOST_CHANGED = 0.2  # share of a notice's words
