@@ -27,14 +27,20 @@ def test_cached_tokenizer_equals_library(texts):
     assert bpe.tokenizer(VOCAB).encode(texts) == [np.array(ids(t), "<u2").tobytes() for t in texts]
 
 
-def test_cached_tokenizer_while_its_table_grows_and_starts_anew(monkeypatch):
+def test_cached_tokenizer_in_a_table_of_fixed_size(monkeypatch):
     rng = np.random.default_rng(3)
     tok = bpe.WordCachedTokenizer(VOCAB)
-    tok._table = bpe.PieceTable(4)
-    monkeypatch.setattr(bpe, "CACHE_PIECES", 1_500)
+    tok._table = bpe.PieceTable(1 << 11, 1 << 11)
+    monkeypatch.setattr(bpe, "RANGE_BYTES", 1_000)  # texts are looked up in parts
+    size, emptied = tok._table.nbytes, 0
     for _ in range(12):
-        texts = [" ".join("".join(rng.choice(["an", "th", "é", "on", ",", "ing", "\n"], rng.integers(1, 5))) for _ in range(40)) for _ in range(20)]
-        assert tok.encode(texts) == [np.array(ids(t), "<u2").tobytes() for t in texts]
+        texts = [" ".join("".join(rng.choice(["an", "th", "é", "on", ",", "ing", "\n", "x" * 300], rng.integers(1, 5))) for _ in range(60)) for _ in range(10)]
+        before = tok._table.count
+        assert tok.encode([*texts, "y" * 2_000, "a  " + "z" * 1_500 + " b"]) == [np.array(ids(t), "<u2").tobytes() for t in [*texts, "y" * 2_000, "a  " + "z" * 1_500 + " b"]]
+        emptied += tok._table.count < before
+        assert tok._table.nbytes == size and 2 * tok._table.count <= len(tok._table.keys)
+    assert emptied
+    assert bpe.PieceTable().nbytes < 32e6
 
 
 @settings(max_examples=60, deadline=None)

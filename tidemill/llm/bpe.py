@@ -11,14 +11,18 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 from tidemill.llm.hashing import BYTE_TABLE, range_hashes
 
 SPACE, NEWLINE, FIRST = " ", "\n", "\x01"
-#: Pieces kept per worker, at about 45 bytes each with their ids; beyond, the table starts anew. It bounds the memory, not the result.
-CACHE_PIECES = 2_000_000
+#: A worker's table of pieces: 18 bytes a slot, half of the slots used at most, and two bytes an id: 27 MB. Where new
+#: pieces find no room it is emptied. It bounds the memory, not the result.
+SLOTS, FLAT_IDS = 1 << 20, 1 << 22
+RANGE_BYTES = 1 << 19  # of text looked up at once: its pieces and ids always have room in an empty table
 UNSAFE = 0xFFFF  # in place of a piece's number of ids: its text must be encoded whole
 _JOINED = 20_000  # pieces given to the library in one string
 #: A word of one letter run, perhaps followed by one mark: two pre-tokens at most, whatever stands around it.
@@ -31,17 +35,26 @@ def _byte_char(b: int) -> str:
 
 
 class PieceTable:
-    """From a piece's hash and check value to its ids. Zero is no hash."""
+    """From a piece's hash and check value to its ids, in arrays made once and never grown. Zero is no hash."""
 
-    def __init__(self, slots: int = 1 << 16):
-        self.count, self.used = 0, 0
-        self.flat = np.zeros(1 << 18, np.uint16)
-        self._make(slots)
-
-    def _make(self, slots: int) -> None:
+    def __init__(self, slots: int = SLOTS, ids: int = FLAT_IDS):
         self.mask = np.uint64(slots - 1)
         self.keys, self.checks = np.zeros(slots, np.uint64), np.zeros(slots, np.uint32)
-        self.offsets, self.sizes = np.zeros(slots, np.int64), np.zeros(slots, np.uint16)
+        self.offsets, self.sizes = np.zeros(slots, np.uint32), np.zeros(slots, np.uint16)
+        self.flat = np.zeros(ids, np.uint16)
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys[:] = 0
+        self.count, self.used = 0, 0
+
+    @property
+    def nbytes(self) -> int:
+        return sum(a.nbytes for a in (self.keys, self.checks, self.offsets, self.sizes, self.flat))
+
+    def holds(self, pieces: int, ids: int) -> bool:
+        """Whether so many more pieces with so many ids have room."""
+        return 2 * (self.count + pieces) <= len(self.keys) and self.used + ids <= len(self.flat)
 
     def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
         """The slot of each key, -1 where it is new."""
@@ -55,7 +68,15 @@ class PieceTable:
             todo, slot = todo[on], (slot[on] + 1) & int(self.mask)
         return out
 
-    def _place(self, keys: np.ndarray, checks: np.ndarray, offsets: np.ndarray, sizes: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, checks: np.ndarray, ids: list[bytes | None]) -> None:
+        """New keys, each once, that the table ``holds``."""
+        sizes = np.array([UNSAFE if i is None else len(i) // 2 for i in ids], np.uint16)
+        raw = np.frombuffer(b"".join(i or b"" for i in ids), "<u2")
+        real = np.where(sizes == UNSAFE, 0, sizes).astype(np.int64)
+        offsets = self.used + np.cumsum(real) - real
+        self.flat[self.used : self.used + len(raw)] = raw
+        self.used += len(raw)
+        self.count += len(keys)
         slot, todo = (keys & self.mask).astype(np.int64), np.arange(len(keys))
         while len(todo):
             free = self.keys[slot] == 0
@@ -70,27 +91,6 @@ class PieceTable:
             left[np.flatnonzero(free)[won]] = False
             todo, slot = todo[left], (slot[left] + 1) & int(self.mask)
 
-    def add(self, keys: np.ndarray, checks: np.ndarray, ids: list[bytes | None]) -> None:
-        """New keys, each once."""
-        sizes = np.array([UNSAFE if i is None else len(i) // 2 for i in ids], np.uint16)
-        raw = np.frombuffer(b"".join(i or b"" for i in ids), "<u2")
-        real = np.where(sizes == UNSAFE, 0, sizes).astype(np.int64)
-        offsets = self.used + np.cumsum(real) - real
-        while self.used + len(raw) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(raw)] = raw
-        self.used += len(raw)
-        self.count += len(keys)
-        if 2 * self.count > len(self.keys):
-            have = np.flatnonzero(self.keys)
-            old = self.keys[have], self.checks[have], self.offsets[have], self.sizes[have]
-            slots = len(self.keys)
-            while 2 * self.count > slots:
-                slots *= 2
-            self._make(slots)
-            self._place(*old)
-        self._place(keys, checks, offsets, sizes)
-
 
 class WordCachedTokenizer:
     """``encode(texts)`` gives each text's ids as little-endian uint16 bytes, equal to the library's own ids."""
@@ -156,6 +156,31 @@ class WordCachedTokenizer:
             out[k] = ids if pieces[k][0] == NEWLINE else ids[len(self._newline) :]
         return [None if i is not None and len(i) // 2 >= UNSAFE else i for i in out]
 
+    def _looked_up(self, data: bytes, x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces in a row, number of each piece's ids; ``UNSAFE`` where it cannot stand apart)."""
+        first, last = int(starts[0]), int(ends[-1])
+        keys = range_hashes(BYTE_TABLE[x[first:last]], starts - first, ends - first)
+        keys[keys == 0] = 1
+        # Length, first, middle and last bytes: two pieces of one hash would have to share these too.
+        size = ends - starts
+        checks = (size.astype(np.uint32) << np.uint32(24)) ^ (x[np.minimum(starts + 1, ends - 1)].astype(np.uint32) << np.uint32(16)) ^ (x[starts + size // 2].astype(np.uint32) << np.uint32(8)) ^ x[ends - 1]
+        t = self._table
+        slot = t.find(keys, checks)
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            one = new[np.unique(keys[new], return_index=True)[1]]
+            if not t.holds(len(one), int(size[one].sum())):  # a piece has no more ids than bytes
+                t.clear()
+                new = np.arange(len(keys))
+                one = np.unique(keys, return_index=True)[1]
+            pieces = [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
+            t.add(keys[one], checks[one], self._learn(pieces))
+            slot[new] = t.find(keys[new], checks[new])
+        sizes = np.where(slot < 0, UNSAFE, t.sizes[slot]).astype(np.int64)
+        real = np.where(sizes == UNSAFE, 0, sizes)
+        total = np.cumsum(real)
+        return t.flat[np.repeat(t.offsets[slot].astype(np.int64) - (total - real), real) + np.arange(total[-1])], sizes
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         cut = [k for k, t in enumerate(texts) if t and FIRST not in t]
@@ -164,35 +189,25 @@ class WordCachedTokenizer:
             x = np.frombuffer(data, np.uint8)
             starts = np.flatnonzero((x == 0x20) | (x == 0x0A) | (x == 0x01))
             ends = np.append(starts[1:], len(x))
-            keys = range_hashes(BYTE_TABLE[x], starts, ends)
-            keys[keys == 0] = 1
-            # Length, first, middle and last bytes: two pieces of one hash would have to share these too.
-            size = ends - starts
-            checks = (size.astype(np.uint32) << np.uint32(24)) ^ (x[np.minimum(starts + 1, ends - 1)].astype(np.uint32) << np.uint32(16)) ^ (x[starts + size // 2].astype(np.uint32) << np.uint32(8)) ^ x[ends - 1]
-            if self._table.count > CACHE_PIECES:
-                self._table = PieceTable()
-            slot = self._table.find(keys, checks)
-            new = np.flatnonzero(slot < 0)
-            if len(new):
-                _, one = np.unique(keys[new], return_index=True)
-                one = new[one]
-                pieces = [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
-                mask = self._table.mask
-                self._table.add(keys[one], checks[one], self._learn(pieces))
-                if mask == self._table.mask:
-                    slot[new] = self._table.find(keys[new], checks[new])
-                else:  # the table has grown, and all slots are others
-                    slot = self._table.find(keys, checks)
-            t = self._table
-            sizes = np.where(slot < 0, UNSAFE, t.sizes[slot]).astype(np.int64)
+            parts, sizes, at = [], [], 0
+            while at < len(starts):
+                until = max(at + 1, int(np.searchsorted(ends, starts[at] + RANGE_BYTES, "right")))
+                if ends[until - 1] - starts[at] > RANGE_BYTES:  # a single piece
+                    parts.append(np.zeros(0, np.uint16))
+                    sizes.append(np.full(1, UNSAFE, np.int64))
+                else:
+                    ids, n = self._looked_up(data, x, starts[at:until], ends[at:until])
+                    parts.append(ids)
+                    sizes.append(n)
+                at = until
+            size = np.concatenate(sizes)
+            ids = np.concatenate(parts).astype("<u2").tobytes()
             first = np.flatnonzero(x[starts] == 0x01)
-            whole = np.logical_or.reduceat(sizes == UNSAFE, first)
-            sizes[sizes == UNSAFE] = 0
-            total = np.cumsum(sizes)
-            ids = t.flat[np.repeat(t.offsets[slot] - (total - sizes), sizes) + np.arange(total[-1])].astype("<u2").tobytes()
-            until = total[np.append(first[1:], len(starts)) - 1].tolist()
+            whole = np.logical_or.reduceat(size == UNSAFE, first)
+            size[size == UNSAFE] = 0
+            stops = np.cumsum(size)[np.append(first[1:], len(starts)) - 1].tolist()
             at = 0
-            for k, end, apart in zip(cut, until, (~whole).tolist(), strict=True):
+            for k, end, apart in zip(cut, stops, (~whole).tolist(), strict=True):
                 if apart:
                     out[k] = ids[2 * at : 2 * end]
                 at = end
@@ -212,14 +227,15 @@ def tokenizer(path: str) -> WordCachedTokenizer:
     return _made[path]
 
 
-def slices(texts: list[str | None], chars: int = 400_000):
-    """Runs of ``texts`` (None as empty) of about ``chars`` characters, as (start, list)."""
+def slices(column: pa.Array, chars: int = 400_000, rows: int = 256) -> Iterator[tuple[int, list[str]]]:
+    """Runs of the column's texts (null as empty) of about ``chars`` characters, as (start, list)."""
     start, some, n = 0, [], 0
-    for i, t in enumerate(texts):
-        some.append(t or "")
-        n += len(some[-1])
-        if n >= chars:
-            yield start, some
-            start, some, n = i + 1, [], 0
+    for at in range(0, len(column), rows):
+        for i, t in enumerate(column.slice(at, rows).to_pylist(), at):
+            some.append(t or "")
+            n += len(some[-1])
+            if n >= chars:
+                yield start, some
+                start, some, n = i + 1, [], 0
     if some:
         yield start, some

@@ -198,7 +198,7 @@ def _same_length(valid: DataFrame, dims: int, threshold: float, target: float) -
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(np.sort(cells, axis=1).ravel()), cells.shape[1]).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), part.column(0).take(row), part.column(1).take(row), lists.take(row), part.column(2).take(row)], names=["cell", "g", "mult", "cells", "v"])
 
-    entries = scratch.materialize(distinct.select("g", "mult", "v").mapInArrow(enter, "cell long, g long, mult long, cells array<long>, v array<double>"), "entries")
+    entries = scratch.materialize(distinct.select("g", "mult", "v").mapInArrow(scratch.tidy(enter), "cell long, g long, mult long, cells array<long>, v array<double>"), "entries")
     sizes = scratch.materialize(entries.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1").withColumn("blocks", F.ceil(F.col("size") / BLOCK_VECTORS).cast("int")), "cells")
     own = F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int")
     dealt = entries.join(sizes, "cell").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -237,7 +237,7 @@ def _same_length(valid: DataFrame, dims: int, threshold: float, target: float) -
         if held is not None and len(held):
             yield from results(held)
 
-    found = scratch.materialize(dealt.repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y").mapInArrow(compare, "a long, b long, n long"), "found")
+    found = scratch.materialize(dealt.repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y").mapInArrow(scratch.tidy(compare), "a long, b long, n long"), "found")
     counts = scratch.materialize(found.where("b < 0").groupBy(F.col("a").alias("g")).agg(F.sum("n").alias("n")), "counts")
     members = scratch.materialize(components.connected_components(found.where("b >= 0").select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "g"), "members")
     firsts = distinct.select("g", "first")

@@ -237,4 +237,4 @@ def find_licenses(docs: DataFrame) -> DataFrame:
                     rows.append(r)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), *(pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True))], names=["doc_id", *names])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, start long, end long, license string, reduction double, n_changed long, changes string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scratch.tidy(run), "doc_id long, start long, end long, license string, reduction double, n_changed long, changes string")

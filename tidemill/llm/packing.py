@@ -185,7 +185,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_i
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids = batch.column(0)
-            for at, texts in bpe.slices(batch.column(1).to_pylist()):
+            for at, texts in bpe.slices(batch.column(1)):
                 owner, number, starts, lengths, sums = [], [], [], [], []
                 for i, raw in enumerate(tok.encode(texts), at):
                     wide = np.frombuffer(raw, "<u2").astype("<u4").tobytes() + end
@@ -209,7 +209,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_i
                     names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "local_rank"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scratch.tidy(cut), PIECES)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -240,4 +240,4 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, e
             )
 
     ranked = pieces.join(before.select("length", "task", "before"), ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("local_rank")).alias("rank"))
-    return ranked.mapInArrow(put, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(scratch.tidy(put), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -6,10 +6,13 @@ Written tables cut lineage: a lost executor costs the rerun of unfinished tasks
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.session import ship_package
@@ -51,3 +54,22 @@ def prepare(df: DataFrame) -> SparkSession:
     """The session of ``df``, with this package available to its Python workers."""
     ship_package(df.sparkSession)
     return df.sparkSession
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run``, after which the worker gives freed memory back to the system: workers outlive tasks, and the next stage's have their own needs."""
+
+    def tidied(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not glibc
+                pass
+
+    return tidied

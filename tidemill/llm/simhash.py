@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
             fp = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scratch.tidy(run), "doc_id long, fp long")
 
 
 # --- ball hashing -------------------------------------------------------------------------------------------------
@@ -92,7 +92,7 @@ def variants(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> Data
                     key = (part[:, None] ^ masks[None, :]).ravel().view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), b, np.int32)), pa.array(key), pa.array(np.repeat(fp, len(masks)))], names=["block", "variant", "fp"])
 
-    return fps.mapInArrow(run, "block int, variant long, fp long")
+    return fps.mapInArrow(scratch.tidy(run), "block int, variant long, fp long")
 
 
 def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +148,7 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS
             yield links(*held)
 
     met = variants(fps, radius, blocks).repartition("block", "variant").sortWithinPartitions("block", "variant")
-    return met.mapInArrow(run, "u long, v long")
+    return met.mapInArrow(scratch.tidy(run), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
@@ -315,8 +315,8 @@ def similar_links(sketches: DataFrame, similarity: float, n: int) -> DataFrame:
         if held is not None and len(held[0]):
             yield links(*held)
 
-    met = sketches.select("g", "size", "bits").mapInArrow(emit, "key long, g long, f0 long, f1 long")
-    return met.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "u long, v long").distinct()
+    met = sketches.select("g", "size", "bits").mapInArrow(scratch.tidy(emit), "key long, g long, f0 long, f1 long")
+    return met.repartition("key").sortWithinPartitions("key").mapInArrow(scratch.tidy(compare), "u long, v long").distinct()
 
 
 def alike(shared: np.ndarray, a: np.ndarray | int, b: np.ndarray | int, similarity: float) -> np.ndarray:
@@ -394,7 +394,7 @@ def exact_links(loose: DataFrame, similarity: float) -> DataFrame:
         if held is not None and len(held):
             yield from results(held)
 
-    return dealt.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y").mapInArrow(compare, "u long, v long")
+    return dealt.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y").mapInArrow(scratch.tidy(compare), "u long, v long")
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -425,12 +425,12 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
             same = pa.array([name(s) == k.as_py() for s, k in zip(sets, batch.column(2), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([c.filter(same) for c in (batch.column(0), batch.column(1), pa.array([s.tobytes() for s in sets], pa.binary()))], names=["component", "g", "shingles"])
 
-    made = scratch.materialize(given.select("doc_id", "d", "h", "text").mapInArrow(run, "doc_id long, d long, h long, name binary, size long, bits binary"), "sketches")
+    made = scratch.materialize(given.select("doc_id", "d", "h", "text").mapInArrow(scratch.tidy(run), "doc_id long, d long, h long, name binary, size long, bits binary"), "sketches")
     distinct = made.groupBy("name", "size", "bits").agg(F.min("doc_id").alias("first"), F.min(F.struct("d", "h")).alias("row"))
     distinct = scratch.materialize(distinct.select("name", "size", "bits", "first", "row.d", "row.h").withColumn("g", F.monotonically_increasing_id()), "distinct")
     loose = components.connected_components(similar_links(distinct.where("size > 0"), similarity, distinct.count())).withColumnRenamed("node", "g")
     asked = scratch.materialize(loose.join(distinct.select("g", "name", "d", "h"), "g"), "asked")
-    sets = asked.join(given.select("d", "h", "text"), ["d", "h"]).select("component", "g", "name", "text").mapInArrow(shingles, "component long, g long, shingles binary")
+    sets = asked.join(given.select("d", "h", "text"), ["d", "h"]).select("component", "g", "name", "text").mapInArrow(scratch.tidy(shingles), "component long, g long, shingles binary")
     links = exact_links(scratch.materialize(sets.dropDuplicates(["g"]), "sets"), similarity)
     members = scratch.materialize(components.connected_components(links).withColumnRenamed("node", "g"), "members")
     named = scratch.materialize(members.join(distinct.select("g", "first"), "g").groupBy("component").agg(F.min("first").alias("component_id")), "named")

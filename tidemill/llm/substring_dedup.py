@@ -107,7 +107,7 @@ def _paths(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 yield flush()
 
     named = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return named.mapInArrow(run, "low long, content long, doc_id long, check long, place long")
+    return named.mapInArrow(scratch.tidy(run), "low long, content long, doc_id long, check long, place long")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def _packed(docs: DataFrame) -> DataFrame:
                 check = [zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 512), pa.array(check, pa.int64()), pa.array([pack(joined_words(t)) for t in texts], pa.binary())], names=["doc_id", "check", "words"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, check long, words binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scratch.tidy(run), "doc_id long, check long, words binary")
 
 
 def _edges(asked: DataFrame, window: int) -> DataFrame:
@@ -139,7 +139,7 @@ def _edges(asked: DataFrame, window: int) -> DataFrame:
                     fixed = [pa.array(np.full(n, x, np.int64)) for x in (p["low"], p["content"], doc)]
                     yield pa.RecordBatch.from_arrays([*fixed, pa.array(h.view(np.int64)), pa.array(np.arange(n, dtype=np.int32))], names=["low", "content", "doc_id", "edge", "nth"])
 
-    return asked.select("words", "doc_id", "paths").mapInArrow(_merged(run), "low long, content long, doc_id long, edge long, nth int")
+    return asked.select("words", "doc_id", "paths").mapInArrow(scratch.tidy(_merged(run)), "low long, content long, doc_id long, edge long, nth int")
 
 
 def _merged(run):
@@ -227,4 +227,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                     columns["text"] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return _packed(docs).join(spans, ["doc_id", "check"], "left").select("doc_id", "words", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text)
+    return _packed(docs).join(spans, ["doc_id", "check"], "left").select("doc_id", "words", "spans").mapInArrow(scratch.tidy(run), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text)

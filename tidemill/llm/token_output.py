@@ -132,11 +132,11 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, end = bpe.tokenizer(vocabulary), np.array([end_id], "<u2").tobytes()
         for batch in batches:
-            for at, texts in bpe.slices(batch.column(1).to_pylist()):
+            for at, texts in bpe.slices(batch.column(1)):
                 raw = [x + end for x in tok.encode(texts)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(raw, pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scratch.tidy(run), "doc_id long, ids binary")
 
 
 def global_counts(ids: DataFrame, size: int = 65_536) -> np.ndarray:
@@ -150,7 +150,7 @@ def global_counts(ids: DataFrame, size: int = 65_536) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["symbol", "n"])
 
     counts = np.zeros(size, np.int64)
-    for r in ids.select("ids").mapInArrow(run, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect():
+    for r in ids.select("ids").mapInArrow(scratch.tidy(run), "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect():
         counts[r["symbol"]] = r["n"]
     return counts
 
@@ -195,7 +195,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
             yield flush()
 
     ordered = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    ordered.mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    ordered.mapInArrow(scratch.tidy(run), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
@@ -214,7 +214,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
 
     from pyspark.sql import Window
 
-    by_block = blocks.select("shard", "block", "counts").mapInArrow(sizes, "shard int, block int, n long")
+    by_block = blocks.select("shard", "block", "counts").mapInArrow(scratch.tidy(sizes), "shard int, block int, n long")
     inside = by_block.select("shard", "block", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("inside"))
     # A row for each writing task reaches the driver; a task writes hundreds of blocks.
     totals = sorted((r["shard"], r["n"]) for r in by_block.groupBy("shard").agg(F.sum("n").alias("n")).collect())
@@ -240,4 +240,4 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
                     columns["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return blocks.join(inside, ["shard", "block"]).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return blocks.join(inside, ["shard", "block"]).mapInArrow(scratch.tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)

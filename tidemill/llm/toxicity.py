@@ -199,7 +199,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             held = [i is None or zlib.crc32(str(i).encode()) % FOLDS == HELD_OUT for i in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.bool_()), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scratch.tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -212,4 +212,4 @@ def keep_clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(_scored(shared.value, batch.column(at)) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(scratch.tidy(run), docs.schema)
