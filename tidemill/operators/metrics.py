@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.vectors import is_vector
+from tidemill.operators.windows import piece_of, range_bounds, sums_before, with_rank
 
 # The metrics' names.
 CLASSIFICATION = ("f1", "weightedPrecision", "weightedRecall", "accuracy")
@@ -65,18 +66,30 @@ def one_hot_prediction(df: DataFrame, score: str = "probability", classes: int =
 
 
 def cumulative(df: DataFrame, score: str = "score", bins: int = 0) -> DataFrame:
-    """(score, tp, fp, p, n) for each distinct score, falling: hits and false alarms at that threshold.
+    """(score, hits, misses, tp, fp, p, n) for each distinct score: hits and false alarms at that score, and of all scores from it up.
 
-    ``bins`` over 0 keeps about so many points. Rows are first summed by score, so the ordered pass sees one row for
-    each distinct score only; very fine scores should be rounded or binned before.
+    ``bins`` over 0 keeps about so many points. Rows are first summed by score; ranges of scores then count by
+    themselves, and the sums of the ranges above (at most a thousand numbers) are added to each.
     """
     at = df.select(score_of(df, score).alias("score"), F.col("label").cast("double").alias("label")).groupBy("score").agg(F.sum("label").alias("hits"), F.sum(1 - F.col("label")).alias("misses"))
+    at = at.withColumn("_falling", -F.col("score"))
     if bins:
         # Neighbouring scores share a point, which stands at the lowest of them.
-        at = at.withColumn("_bin", F.ntile(bins).over(Window.orderBy(F.desc("score")))).groupBy("_bin").agg(F.min("score").alias("score"), F.sum("hits").alias("hits"), F.sum("misses").alias("misses")).drop("_bin")
-    total = at.agg(F.sum("hits").alias("p"), F.sum("misses").alias("n"))
-    so_far = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return at.withColumns({"tp": F.sum("hits").over(so_far), "fp": F.sum("misses").over(so_far)}).crossJoin(F.broadcast(total)).select("score", "tp", "fp", "p", "n")
+        ranked = with_rank(at, "_falling", "_place")
+        points = ranked.count()
+        if not points:
+            return ranked.select("score", "hits", "misses", *[F.lit(0.0).alias(c) for c in ("tp", "fp", "p", "n")])
+        bin_of = F.floor((F.col("_place") - 1) * F.lit(bins) / F.lit(max(points, bins)))
+        at = ranked.groupBy(bin_of).agg(F.min("score").alias("score"), F.sum("hits").alias("hits"), F.sum("misses").alias("misses"))
+        at = at.select("score", "hits", "misses").withColumn("_falling", -F.col("score"))
+    bounds = range_bounds(at, "_falling")
+    at = at.withColumn("_piece", piece_of("_falling", bounds))
+    totals = {r["_piece"]: r for r in at.groupBy("_piece").agg(F.sum("hits").alias("hits"), F.sum("misses").alias("misses")).collect()}  # a row for each piece
+    hits, misses = ({k: r[c] for k, r in totals.items()} for c in ("hits", "misses"))
+    so_far = Window.partitionBy("_piece").orderBy("_falling").rowsBetween(Window.unboundedPreceding, 0)
+    before = lambda sums: F.get(F.array(*[F.lit(float(x)) for x in sums_before(sums, len(bounds) + 1)]), F.col("_piece"))
+    at = at.withColumns({"tp": before(hits) + F.sum("hits").over(so_far), "fp": before(misses) + F.sum("misses").over(so_far)})
+    return at.select("score", "hits", "misses", "tp", "fp", F.lit(float(sum(hits.values()))).alias("p"), F.lit(float(sum(misses.values()))).alias("n"))
 
 
 def roc_curve(df: DataFrame, score: str = "score", bins: int = 0) -> DataFrame:
@@ -105,13 +118,11 @@ def threshold_curves(df: DataFrame, score: str = "score", bins: int = 0) -> Data
 def areas(df: DataFrame, score: str = "score") -> DataFrame:
     """One row: areaUnderROC and areaUnderPR by trapezoids."""
     c = cumulative(df, score)
-    w = Window.orderBy(F.desc("score"))
-    x, y = F.col("fp") / F.col("n"), F.col("tp") / F.col("p")
+    before_tp, before_fp = F.col("tp") - F.col("hits"), F.col("fp") - F.col("misses")
     precision = F.col("tp") / (F.col("tp") + F.col("fp"))
-    c = c.select("score", x.alias("x"), y.alias("y"), precision.alias("q"))
-    before = lambda name, default: F.coalesce(F.lag(name).over(w), default)
-    parts = c.select(((F.col("x") - before("x", F.lit(0.0))) * (F.col("y") + before("y", F.lit(0.0))) / 2).alias("roc"), ((F.col("y") - before("y", F.lit(0.0))) * (F.col("q") + before("q", F.col("q"))) / 2).alias("pr"))
-    return parts.agg(F.sum("roc").alias("areaUnderROC"), F.sum("pr").alias("areaUnderPR"))
+    before = F.when(before_tp + before_fp > 0, before_tp / (before_tp + before_fp)).otherwise(precision)
+    roc = F.col("misses") / F.col("n") * (F.col("tp") + before_tp) / F.col("p") / 2
+    return c.agg(F.sum(roc).alias("areaUnderROC"), F.sum(F.col("hits") / F.col("p") * (precision + before) / 2).alias("areaUnderPR"))
 
 
 def consistent_scores(df: DataFrame, tolerance: float = 0.001) -> bool:

@@ -16,22 +16,49 @@ from tidemill.errors import TidemillError
 from tidemill.functions import vectors
 from tidemill.operators.stages import Stage, need, need_not, param
 
-PIECES = 64
+PIECE_ROWS = 1 << 20
+GRID = 1024  # pieces at most
 BLOCK_ROWS = 1 << 17
 
 
-def with_rank(df: DataFrame, order: str, name: str, pieces: int = PIECES) -> DataFrame:
-    """``df`` with its 1-based place by ``order`` (ties in any order, nulls last left out)."""
+def range_bounds(df: DataFrame, order: str, piece_rows: int = PIECE_ROWS) -> list:
+    """Upper bounds of pieces of about equal size by ``order``: one for each core at least, and so many that a piece has about ``piece_rows`` rows."""
+    row = df.agg(F.count(order).alias("n"), F.percentile_approx(order, [k / GRID for k in range(1, GRID)], 20 * GRID).alias("q")).first()
+    pieces = min(GRID, max(df.sparkSession.sparkContext.defaultParallelism, -(-row["n"] // piece_rows)))
+    return sorted({row["q"][k * GRID // pieces - 1] for k in range(1, pieces)}) if row["n"] else []
+
+
+def piece_of(order: str | Column, bounds: list) -> Column:
+    """The number of bounds below the order, by halving."""
+
+    def between(a: int, b: int) -> Column:
+        if a == b:
+            return F.lit(a)
+        mid = (a + b) // 2
+        return F.when(col > F.lit(bounds[mid]), between(mid + 1, b)).otherwise(between(a, mid))
+
+    col = F.col(order) if isinstance(order, str) else order
+    return between(0, len(bounds))
+
+
+def sums_before(totals: dict[int, float], pieces: int) -> list:
+    """For each piece, the sum over the pieces before it."""
+    out, so_far = [], 0
+    for k in range(pieces):
+        out.append(so_far)
+        so_far += totals.get(k, 0)
+    return out
+
+
+def with_rank(df: DataFrame, order: str, name: str, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """``df`` with its 1-based place by ``order`` (ties in any order, nulls last left out). Rows of one order stay in one piece."""
     df = df.where(F.col(order).isNotNull())
-    inner = sorted(set(df.approxQuantile(order, [k / pieces for k in range(1, pieces)], 0.001)))
-    piece = F.lit(0)
-    for k, bound in enumerate(inner, 1):
-        piece = F.when(F.col(order) > bound, k).otherwise(piece)
-    df = df.withColumn("_piece", piece)
-    sizes = df.groupBy("_piece").count().withColumnRenamed("count", "_n")  # at most `pieces` rows
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    bounds = range_bounds(df, order, piece_rows)
+    df = df.withColumn("_piece", piece_of(order, bounds))
+    sizes = {r["_piece"]: r["count"] for r in df.groupBy("_piece").count().collect()}  # at most GRID rows
+    before = F.array(*[F.lit(n) for n in sums_before(sizes, len(bounds) + 1)])
     local = F.row_number().over(Window.partitionBy("_piece").orderBy(order))
-    return df.withColumn("_local", local).join(F.broadcast(before), "_piece").withColumn(name, F.col("_before") + F.col("_local")).drop("_piece", "_local", "_before")
+    return df.withColumn(name, F.get(before, F.col("_piece")) + local).drop("_piece")
 
 
 def blocks(df: DataFrame, order: str, back: int, ahead: int, size: int = BLOCK_ROWS) -> tuple[DataFrame, Window, Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import PCA, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +14,10 @@ from tidemill.functions import vectors
 from tidemill.operators import learners as L
 from tidemill.operators import metrics as M
 from tidemill.operators.prep import BooleanLabelIndexer, FixedOrderStringIndexer, IndexToStringIfNeeded, IndexVectorizer, VectorHead, index_strings, join_by_order, prepare_features
-from tidemill.operators.reservoir import ReservoirSpec, reservoir
+from tidemill.operators.reservoir import Network, ReservoirSpec, ReservoirStates, reservoir
 from tidemill.operators.results import ClassificationSetting, RegressionSetting, ServiceSetting, TemporalSetting
 from tidemill.operators.sampling import Sampling, forward_chain_splits, seq_split, split_by_value
-from tidemill.operators.scaling import ColumnNormNormalizer, numeric_scaler, transformed, vector_scaler
+from tidemill.operators.scaling import ColumnNormNormalizer, in_place_pca, numeric_scaler, transformed, vector_scaler
 from tidemill.operators.service import LearningService
 from tidemill.operators.stages import Cacher, DropSeriesLeft, FilterGroupsWithCount
 from tidemill.operators.windows import SeqShift, SlidingWindow, order_dependent_predictions, top_orders
@@ -266,16 +266,16 @@ NAMES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
 def _scaled(kind: str) -> Query:
-    return lambda s, d: transformed(vector_scaler(kind, "features", "x"), item_vectors(s, d)).select("l_orderkey", "l_linenumber", rounded_array(vector_to_array("x"), 8).alias("x"))
+    return lambda s, d: transformed(vector_scaler(kind, "features", "x"), item_vectors(s, d)).select("l_orderkey", "l_linenumber", rounded_array(vector_to_array("x")).alias("x"))
 
 
 def _normed(p: float) -> Query:
-    return lambda s, d: transformed(ColumnNormNormalizer(inputCol="features", outputCol="x", p=p), item_vectors(s, d)).select("l_orderkey", "l_linenumber", rounded_array(vector_to_array("x"), 8).alias("x"))
+    return lambda s, d: transformed(ColumnNormNormalizer(inputCol="features", outputCol="x", p=p), item_vectors(s, d)).select("l_orderkey", "l_linenumber", rounded_array(vector_to_array("x")).alias("x"))
 
 
 def _scaled_sql(each: str, stats: str) -> str:
     stat = ", ".join(stats.format(c=c) for c in NAMES)
-    return f"SELECT l_orderkey, l_linenumber, [{', '.join(f'round({each.format(c=c)}, 8)' for c in NAMES)}] AS x FROM lineitem, (SELECT {stat} FROM lineitem)"
+    return f"SELECT l_orderkey, l_linenumber, [{', '.join(f'round({each.format(c=c)}, 6)' for c in NAMES)}] AS x FROM lineitem, (SELECT {stat} FROM lineitem)"
 
 
 add("scale_l1", _scaled("L1Normalizer"), _scaled_sql("{c} / {c}_n", "sum(abs({c})) AS {c}_n"))
@@ -288,8 +288,8 @@ add("scale_minmax11", _scaled("MinMaxPlusMinusOneScaler"), _scaled_sql("({c} - {
 add("scale_maxabs", _scaled("MaxAbsScaler"), _scaled_sql("{c} / {c}_n", "max(abs({c})) AS {c}_n"))
 add(
     "scale_label",
-    lambda s, d: transformed(numeric_scaler("StandardScaler", "value", "x"), events(s, d)).select("idx", rounded("x", 8).alias("x")),
-    f"SELECT idx, round((value - m) / s, 8) AS x FROM {EV}, (SELECT avg(value) AS m, stddev_samp(value) AS s FROM events)",
+    lambda s, d: transformed(numeric_scaler("StandardScaler", "value", "x"), events(s, d)).select("idx", rounded("x").alias("x")),
+    f"SELECT idx, round((value - m) / s, 6) AS x FROM {EV}, (SELECT avg(value) AS m, stddev_samp(value) AS s FROM events)",
 )
 for _name, _fn in (("vector_sum", vectors.vector_sum), ("vector_min", vectors.vector_min), ("vector_max", vectors.vector_max)):
     _agg = _name[7:]
@@ -450,7 +450,43 @@ for _name, _spec in REGRESSORS.items():
     add(f"regress_{_name}", lambda s, d, spec=_spec: SERVICE.regress(_priced(s, d), spec, RegressionSetting(repetitions=1)).frame(s))
 for _name, _spec in CLUSTERERS.items():
     add(f"cluster_{_name}", lambda s, d, spec=_spec: SERVICE.cluster(_priced(s, d), spec, "MinMaxZeroOneScaler").select("label", "cluster"))
-add("pca", lambda s, d: PCA(k=3, inputCol="features", outputCol="p").fit(_embedded(s, d, 3)).transform(_embedded(s, d, 3)).select("vec_id", vector_to_array("p").alias("p")))
+add("pca", lambda s, d: transformed(in_place_pca(3), _embedded(s, d, 3)).select("vec_id", vector_to_array("features").alias("p")))
+add(
+    "pca_plane",
+    lambda s, d: transformed(in_place_pca(1, "v"), event_vectors(s, d)).select("idx", rounded(F.abs(vector_to_array("v")[0])).alias("p")),
+    f"""WITH m AS (SELECT var_samp(value) AS a, var_samp(k) AS b, covar_samp(value, k) AS c FROM {EV}), e AS (SELECT c, (a + b) / 2 + sqrt(pow((a - b) / 2, 2) + c * c) - a AS d FROM m)
+SELECT idx, round(abs(value * c + k * d) / sqrt(c * c + d * d), 6) AS p FROM {EV}, e""",
+)
+
+
+def _steps(s: SparkSession, d: str) -> DataFrame:
+    """k (0 to 6) as the only feature; the label, 1 from 4 up, is a step that every learner must find."""
+    e = event_vectors(s, d).select("idx", array_to_vector(F.array("k")).alias("features"), F.when(F.col("k") > 3, "yes").otherwise("no").alias("label"))
+    return index_strings(e, [("label", ["no", "yes"])])
+
+
+STEP_SQL = f"SELECT idx, CASE WHEN k > 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction FROM {EV}"
+for _name, (_spec, _) in CLASSIFIERS.items():
+    if _name != "multi_layer_perceptron":
+        add(f"step_{_name}", lambda s, d, spec=_spec: transformed(L.build_estimator(spec)[0], _steps(s, d)).select("idx", "prediction"), STEP_SQL)
+add("step_multi_layer_perceptron", lambda s, d: transformed(L.build_estimator(L.MultiLayerPerceptron(hidden_layers=(3,), max_iteration=200, seed=1), 1, 2)[0], _steps(s, d)).select("idx", "prediction"), STEP_SQL)
+for _name in ("regression_tree", "random_regression_forest", "gradient_boost_regression_tree"):
+    add(f"step_{_name}", lambda s, d, spec=REGRESSORS[_name]: transformed(L.build_estimator(spec)[0], _steps(s, d)).select("idx", rounded("prediction").alias("prediction")), STEP_SQL)
+
+
+def _clouds(spec: L.Clusterer) -> Query:
+    """Three clouds far apart; a cluster is named by its smallest row."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        e = events(s, d).select("idx", array_to_vector(F.array(F.col("value") / 100 + F.col("idx") % 3 * 1000, F.col("value") % 7 - F.col("idx") % 3 * 500)).alias("features"))
+        found = SERVICE.cluster(e, spec).select("idx", "cluster")
+        return found.join(found.groupBy("cluster").agg(F.min("idx").alias("first")), "cluster").select("idx", "first")
+
+    return run
+
+
+for _name, _spec in (("kmeans", L.KMeans(k=3, seed=1)), ("bisecting_kmeans", L.BisectingKMeans(k=3, seed=1)), ("gaussian_mixture", L.GaussianMixture(k=3, max_iteration=20, seed=1))):
+    add(f"clouds_{_name}", _clouds(_spec), f"SELECT idx, CAST(idx % 3 AS INTEGER) AS first FROM {EV}")
 add("kfold_cv", lambda s, d: SERVICE.regress(_priced(s, d), L.LinearRegression(regularization=L.Grid(0.0, 0.1)), RegressionSetting(folds=3)).frame(s))
 
 # --- series -------------------------------------------------------------------------------------------------------
@@ -467,6 +503,27 @@ def _flags(s: SparkSession, d: str) -> DataFrame:
 
 
 NETWORK = ReservoirSpec(nodes=12, in_degree=4, spectral_radius=0.9, weights=("normal", 0.0, 1.0), washout=20)
+
+
+def _reservoir_by_user(s: SparkSession, d: str) -> DataFrame:
+    stage = ReservoirStates(inputCol="v", outputCol="x", orderCol="idx", groupCol="user_id", spec=ReservoirStates.spec_json(PAIR), seed=5)
+    scaled = event_vectors(s, d).select("idx", "user_id", array_to_vector(F.array(F.col("value") / 100, F.col("k") / 7)).alias("v"))
+    return stage.transform(scaled).select("idx", "user_id", rounded_array(vector_to_array("x")).alias("x"))
+
+
+def _reservoir_sql() -> str:
+    """The recurrence in SQL, with the network's own numbers."""
+    net = Network(PAIR, 2, 5)
+    step = lambda i, old: f"tanh({' + '.join([f'({w!r}) * {u}' for w, u in zip(net.w_in[i].tolist(), ('a', 'b'), strict=True)] + [f'({w!r}) * {o}' for w, o in zip(net.w[i].tolist(), old, strict=True)])} + ({float(net.w_bias[i])!r}))"
+    start = [repr(float(x)) for x in net.initial]
+    return f"""WITH RECURSIVE e AS (SELECT idx, user_id, value / 100 AS a, k / 7 AS b, row_number() OVER (PARTITION BY user_id ORDER BY idx) AS r FROM {EV}),
+s AS (SELECT idx, user_id, r, {step(0, start)} AS x0, {step(1, start)} AS x1 FROM e WHERE r = 1
+UNION ALL SELECT e.idx, e.user_id, e.r, {step(0, ("x0", "x1"))}, {step(1, ("x0", "x1"))} FROM s JOIN e ON e.user_id = s.user_id AND e.r = s.r + 1)
+SELECT idx, user_id, [round(x0, 6), round(x1, 6)] AS x FROM s"""
+
+
+PAIR = ReservoirSpec(nodes=2, spectral_radius=0.8, weights=("normal", 0.0, 1.0), reservoir_bias=True)
+add("reservoir_states_grouped", _reservoir_by_user, _reservoir_sql())
 add("reservoir_states", lambda s, d: reservoir("features", "index", "states", NETWORK).fit(_series(s, d)).transform(_series(s, d)).select("index", vector_to_array("states").alias("states")))
 add("regress_ts", lambda s, d: SERVICE.regress_time_series(_series(s, d), L.LinearRegression(), TemporalSetting(core=RegressionSetting(split_ratio=0.8), sliding_window=4)).frame(s))
 add("classify_ts", lambda s, d: SERVICE.classify_time_series(_flags(s, d), L.LogisticRegression(max_iteration=10), TemporalSetting(core=ClassificationSetting(split_ratio=0.8), reservoir=NETWORK)).frame(s))
