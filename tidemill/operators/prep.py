@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.param import TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.ml import Estimator
@@ -106,7 +105,7 @@ class IndexToStringIfNeeded(Stage):
 
 
 class IndexVectorizer(Stage):
-    """One-hot vectors, the last category kept; the width is one more than the largest index of the data, or ``size`` if larger."""
+    """Sparse one-hot vectors, the last category kept; the width is one more than the largest index of the data, or ``size`` if larger."""
 
     inputCol = param("inputCol", "column of non-negative whole numbers", TypeConverters.toString)
     outputCol = param("outputCol", "vector column", TypeConverters.toString)
@@ -118,11 +117,12 @@ class IndexVectorizer(Stage):
         need(df.schema, source)
         need_not(df.schema, target)
         index = F.col(source).cast("double")
-        most = df.agg(F.max(index).alias("_most"))  # one row
+        most = df.agg(F.max(index)).first()[0]
+        width = max(-1 if most is None else int(most), self.value("size") - 1, 0) + 1
         place = F.when((index >= 0) & (index == F.floor(index)), index).otherwise(F.raise_error(F.concat(F.lit("not a category index: "), F.coalesce(index.cast("string"), F.lit("null")))).cast("double"))
-        width = F.greatest(F.col("_most") + 1, F.lit(float(self.value("size")))).cast("int")
-        hot = F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.when(i == place, 1.0).otherwise(0.0))
-        return df.crossJoin(F.broadcast(most)).withColumn(target, array_to_vector(hot)).drop("_most")
+        widest = df.sparkSession.createDataFrame([(float(width - 1),)], "_index double")
+        encoder = OneHotEncoder(inputCol="_index", outputCol=target, dropLast=False).fit(widest)  # its width is all it learns
+        return encoder.transform(df.withColumn("_index", place)).drop("_index")
 
 
 class VectorHead(Stage):

@@ -13,7 +13,7 @@ from dataclasses import asdict, dataclass
 from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import TypeConverters
@@ -110,8 +110,9 @@ class Network:
                 out[int(s)] += 1
                 yield to, int(s)
 
-    def states(self, inputs: np.ndarray) -> np.ndarray:
-        x, out = self.initial, np.empty((len(inputs), len(self.initial)))
+    def states(self, inputs: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+        """The state after each row, from the initial one or the one ``before``."""
+        x, out = self.initial if before is None else before, np.empty((len(inputs), len(self.initial)))
         driven = inputs @ self.w_in.T + self.w_bias
         for t in range(len(inputs)):
             y = driven[t] + self.w @ x
@@ -125,7 +126,8 @@ class Network:
 class ReservoirStates(Stage):
     """The reservoir's states after each row of a series, rows of equal order sharing the state after the last of them.
 
-    A recurrence over one series is sequential: without ``groupCol`` it runs in one task by its nature.
+    A recurrence over one series is sequential: without ``groupCol`` it runs in one task by its nature, as a stream of
+    sorted rows of which one batch is in memory at a time. Rows with a null order drop.
     """
 
     inputCol = param("inputCol", "vector column that drives the network", TypeConverters.toString)
@@ -158,21 +160,54 @@ class ReservoirStates(Stage):
         ship_package(df.sparkSession)
         spec, seed = self._spec(), self.value("seed")
 
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("_o", kind="stable").reset_index(drop=True)
-            u = np.array(pdf["_u"].tolist(), float).reshape(len(pdf), -1)
-            states = Network(spec, u.shape[1], seed).states(u)
-            last = pdf.groupby("_o", sort=False).cumcount(ascending=False).to_numpy()
-            states = states[np.arange(len(pdf)) + last]
-            return pd.DataFrame({"_g": pdf["_g"], "_o": pdf["_o"], "_x": list(states)}).drop_duplicates("_o")
+        slim = df.withColumn("_u", vectors.as_array(df, source)).drop(*([source] if source == target else []))
+        carried = [c for c in slim.columns if c != "_u"]
+        place = F.struct(*[F.col(c) for c in carried])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Rows come by group and order. Only the state and the rows of the last order are kept from batch to batch."""
+            net, state, last = None, None, None
+            held: list[pa.RecordBatch] = []  # rows of the last order so far: rows to come may share and change their state
+
+            def placed(rows: list[pa.RecordBatch], states: np.ndarray) -> pa.RecordBatch:
+                row = pa.Table.from_batches(rows)["_row"].combine_chunks()
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(states) + 1, dtype=np.int32) * states.shape[1]), pa.array(states.ravel()))
+                return pa.RecordBatch.from_arrays([row, lists], names=["_row", "_x"])
+
+            for batch in batches:
+                if not len(batch):
+                    continue
+                keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+                u = np.array(batch.column(2).to_pylist(), float).reshape(len(batch), -1)
+                if net is None:
+                    net = Network(spec, u.shape[1], seed)
+                if held and keys[0] != last:
+                    yield placed(held, np.tile(state, (sum(map(len, held)), 1)))
+                    held = []
+                parts, groups = [], [0, *(k for k in range(1, len(keys)) if keys[k][0] != keys[k - 1][0]), len(keys)]
+                for a, b in zip(groups, groups[1:]):
+                    if last is None or keys[a][0] != last[0]:
+                        state = net.initial
+                    parts.append(net.states(u[a:b], state))
+                    state, last = parts[-1][-1], keys[b - 1]
+                states = np.concatenate(parts)
+                new = np.array([0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1])])
+                shared = states[np.repeat(np.append(new[1:], len(keys)) - 1, np.diff(np.append(new, len(keys))))]
+                rows, end = batch.select(["_row"]), int(new[-1])
+                if end:
+                    before = sum(map(len, held))
+                    yield placed([*held, rows.slice(0, end)], np.concatenate([np.tile(shared[0], (before, 1)), shared[:end]]))
+                    held = []
+                held.append(rows.slice(end))
+            if held:
+                yield placed(held, np.tile(state, (sum(map(len, held)), 1)))
 
         key = F.col(group) if group else F.lit(0)
-        slim = df.select(key.alias("_g"), F.col(order).alias("_o"), vectors.as_array(df, source).alias("_u"))
-        kind = T.StructType([slim.schema["_g"], slim.schema["_o"], T.StructField("_x", T.ArrayType(T.DoubleType()))])
-        states = slim.groupBy("_g").applyInPandas(run, kind)
-        joined = df.join(states, key.eqNullSafe(F.col("_g")) & (F.col(order) == F.col("_o")))
-        out = joined.withColumn("_x", array_to_vector("_x")).drop("_g", "_o", *([source] if source == target else []))
-        return out.withColumnRenamed("_x", target)
+        dealt = slim.where(F.col(order).isNotNull()).select(key.alias("_g"), F.col(order).alias("_o"), "_u", place.alias("_row"))
+        dealt = (dealt.repartition("_g") if group else dealt.repartition(1)).sortWithinPartitions("_g", "_o")
+        kind = T.StructType([T.StructField("_row", dealt.schema["_row"].dataType), T.StructField("_x", T.ArrayType(T.DoubleType()))])
+        out = dealt.mapInArrow(run, kind)
+        return out.select(*[F.col("_row")[c].alias(c, metadata=slim.schema[c].metadata) for c in carried], array_to_vector("_x").alias(target))
 
 
 def reservoir(source: str, order: str, target: str, spec: ReservoirSpec, group: str | None = None, seed: int = 42) -> Pipeline:
