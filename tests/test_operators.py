@@ -21,7 +21,7 @@ from tidemill.operators.sampling import Sampling, choose_split, forward_chain_sp
 from tidemill.operators.scaling import ColumnNormNormalizer, in_place_pca, numeric_scaler_in_place, transformed, vector_scaler, vector_scaler_in_place
 from tidemill.operators.service import LearningService, kernel_size
 from tidemill.operators.stages import Apply, DropSeriesLeft, FilterGroupsWithCount
-from tidemill.operators.validation import ForwardChainingCrossValidator, ForwardChainingCrossValidatorModel
+from tidemill.operators.validation import ForwardChainingCrossValidator, ForwardChainingCrossValidatorModel, best_of
 from tidemill.operators.windows import SeqShift, SlidingWindow
 from tidemill.sources import csv, plots
 
@@ -320,6 +320,94 @@ def test_forward_validator_chooses_and_persists(spark, tmp_path):
     model.save(f"file://{tmp_path}/cv")
     again = ForwardChainingCrossValidatorModel.load(f"file://{tmp_path}/cv")
     assert again.avgMetrics == model.avgMetrics and again.transform(df).count() == 120
+    Pipeline(stages=[cv]).write().overwrite().save(f"file://{tmp_path}/whole")
+    read = Pipeline.load(f"file://{tmp_path}/whole").getStages()[0]
+    assert read.uid == cv.uid and read.folds == 2 and [list(m.values()) for m in read.maps] == [[100.0], [0.0]]
+    assert read.fit(df).avgMetrics == model.avgMetrics
+    assert best_of([float("nan"), 2.0, 1.0], True) == 1 and best_of([float("inf"), 2.0, 1.0], False) == 2
+    with pytest.raises(TidemillError):
+        best_of([float("nan")], True)
+    with pytest.raises(TidemillError):
+        ForwardChainingCrossValidator(Pipeline(stages=[lr]), [], RegressionEvaluator(), "index", process=lambda d: d).save(f"file://{tmp_path}/no")
+
+
+def test_ranks_and_curves_in_pieces(spark, monkeypatch):
+
+
+    rng = random.Random(1)
+    rows = [(i, float(rng.randrange(60)), float(rng.random() < 0.4)) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "i long, score double, label double")
+    monkeypatch.setattr(windows, "PIECE_ROWS", 10)
+    ranked = windows.with_rank(df, "score", "r", 100).collect()
+    assert sorted(r["r"] for r in ranked) == list(range(1, 3_001))
+    assert [r["score"] for r in sorted(ranked, key=lambda r: r["r"])] == sorted(s for _, s, _ in rows)
+    points, hits, total = [], 0, sum(y for *_, y in rows)
+    for s in sorted({s for _, s, _ in rows}, reverse=True):
+        hits += sum(y for _, x, y in rows if x == s)
+        points.append((s, hits))
+    got = M.cumulative(df).orderBy(F.desc("score")).collect()
+    assert [(r["score"], r["tp"]) for r in got] == points and {r["p"] for r in got} == {total}
+    plan = M.cumulative(df)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    assert 5 <= M.cumulative(df, bins=7).count() <= 7 and M.cumulative(df, bins=500).count() == len(points)
+    assert M.cumulative(df.limit(0)).count() == 0 and M.cumulative(df.limit(0), bins=3).count() == 0
+    scored = df.select("label", array_to_vector(F.array(1 - F.col("score") / 60, F.col("score") / 60)).alias("probability"), array_to_vector(F.array(-F.col("score"), F.col("score"))).alias("rawPrediction"))
+    assert M.consistent_scores(scored) and not M.consistent_scores(scored.withColumn("rawPrediction", array_to_vector(F.array(F.lit(0.0), F.col("label")))))
+
+
+def test_reservoir_states_stream_over_batches(spark):
+    spec = ReservoirSpec(nodes=4, spectral_radius=0.9, weights=("normal", 0.0, 1.0))
+    rows = [(g, o // 2 if g else o, float(o % 5), "x") for g in (0, 1) for o in range(90)]
+    df = spark.createDataFrame(rows, "g long, o long, u double, other string")
+    stage = ReservoirStates(inputCol="u", outputCol="x", orderCol="o", groupCol="g", spec=ReservoirStates.spec_json(spec), seed=3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = stage.transform(df).select("g", "o", "other", vector_to_array("x").alias("x")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 180 and {r["other"] for r in got} == {"x"}
+    net = Network(spec, 1, 3)
+    plain = net.states(np.array([[float(o % 5)] for o in range(90)]))
+    for r in got:
+        if r["g"] == 0:
+            assert np.allclose(r["x"], plain[r["o"]])
+    ties = {r["o"]: [x["x"] for x in got if x["g"] == 1 and x["o"] == r["o"]] for r in got if r["g"] == 1}
+    assert all(len(v) == 2 and v[0] == v[1] for v in ties.values())
+
+
+def test_app_shell_and_http_csv(spark, tmp_path):
+    import http.server
+    import threading
+
+    (tmp_path / "a.csv").write_text("x,y\n1,a\n2,b\n")
+    handler = type("Quiet", (http.server.SimpleHTTPRequestHandler,), {"log_message": lambda *a: None, "translate_path": lambda self, p: str(tmp_path / "a.csv")})
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        got = csv.remote_csv(spark, f"http://127.0.0.1:{server.server_port}/a.csv")
+        assert got.dtypes == [("x", "int"), ("y", "string")] and got.count() == 2
+    finally:
+        server.shutdown()
+
+    class Session:
+        stopped = 0
+        sparkContext = type("C", (), {"cancelAllJobs": lambda self: None})()
+
+        def stop(self):
+            Session.stopped += 1
+
+    import time
+
+    from tidemill import session
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(session, "build_session", lambda name, conf: Session())
+        assert session.run_app(lambda s: 5) == 5
+        with pytest.raises(TidemillError):
+            session.run_app(lambda s: time.sleep(1), wait_seconds=0.05)
+        with pytest.raises(ZeroDivisionError):
+            session.run_app(lambda s: 1 / 0)
+    assert Session.stopped == 3
 
 
 def test_clusters(spark):

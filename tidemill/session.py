@@ -7,9 +7,17 @@ import os
 import shutil
 import tempfile
 import zipfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as FutureTimeout
+from typing import TypeVar
 
 from pyspark.sql import SparkSession
 
+from tidemill.errors import TidemillError
+
+T = TypeVar("T")
+
 
 def build_session(app_name: str = "tidemill", conf: dict[str, str] | None = None) -> SparkSession:
     """A session with the defaults the examples use; ``conf`` overrides any of them."""
@@ -24,6 +32,20 @@ def build_session(app_name: str = "tidemill", conf: dict[str, str] | None = None
     return SparkSession.builder.config(map=settings).getOrCreate()
 
 
+def run_app(body: Callable[[SparkSession], T], app_name: str = "tidemill", conf: dict[str, str] | None = None, wait_seconds: float = 3600) -> T:
+    """Run ``body`` in a session of its own and stop that session whatever happens. What takes longer than ``wait_seconds`` is cancelled."""
+    spark = build_session(app_name, conf)
+    pool = ThreadPoolExecutor(1)
+    try:
+        return pool.submit(body, spark).result(wait_seconds)
+    except FutureTimeout:
+        spark.sparkContext.cancelAllJobs()
+        raise TidemillError(f"{app_name} did not end within {wait_seconds:g} seconds") from None
+    finally:
+        pool.shutdown(wait=False, cancel_futures=True)
+        spark.stop()
+
+
 _shipped: set[str] = set()
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from urllib.parse import urlparse
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -13,14 +15,21 @@ def local_csv(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
 
 
 def remote_csv(spark: SparkSession, url: str, header: bool = True) -> DataFrame:
-    """The same from a URL. Stores that Spark reads are read by Spark; others are fetched once and shared as lines."""
+    """The same from a URL. Stores that Spark reads are read by Spark; others are streamed by an executor, line by line, and kept there."""
     if urlparse(url).scheme not in ("http", "https", "ftp"):
         return local_csv(spark, url, header)
-    from urllib.request import urlopen
 
-    with urlopen(url) as response:
-        lines = response.read().decode("utf-8").splitlines()
-    return spark.read.option("header", header).option("inferSchema", True).csv(spark.sparkContext.parallelize(lines))
+    def lines(urls: Iterator[str]) -> Iterator[str]:
+        from urllib.request import urlopen
+
+        for u in urls:
+            with urlopen(u) as response:
+                for line in response:
+                    yield line.decode("utf-8").rstrip("\r\n")
+
+    # Kept on disk: inference and reading both need it, and the server should be asked once.
+    body = spark.sparkContext.parallelize([url], 1).mapPartitions(lines).persist(StorageLevel.DISK_ONLY)
+    return spark.read.option("header", header).option("inferSchema", True).csv(body)
 
 
 def named(df: DataFrame, *names: str) -> DataFrame:
