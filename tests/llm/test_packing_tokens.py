@@ -109,6 +109,80 @@ def test_packing_is_close_to_the_volume_bound():
     assert sum(n * sum(c.values()) for c, n in plan) == len(lengths)
 
 
+def test_dearest_filling_equals_search():
+    from itertools import product
+
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        lengths = sorted(rng.choice(np.arange(1, 15), 4, replace=False).tolist())
+        left, room = [0] * 15, int(rng.integers(1, 30))
+        for n in lengths:
+            left[n] = int(rng.integers(0, 4))
+        found = packing.dearest(room, lengths[::-1], left)
+        assert all(0 < k <= left[n] for n, k in found.items())
+        best = max(v for ks in product(*(range(left[n] + 1) for n in lengths)) if (v := sum(k * n for k, n in zip(ks, lengths, strict=True))) <= room)
+        assert sum(n * k for n, k in found.items()) == best
+
+
+def fewest(pieces, capacity):
+    """Exact bin packing by search."""
+    best = len(pieces)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(pieces):
+            best = len(rooms)
+            return
+        for r in sorted(set(rooms)):
+            if r >= pieces[i]:
+                rest = [*rooms]
+                rest[rest.index(r)] -= pieces[i]
+                place(i + 1, rest)
+        place(i + 1, [*rooms, capacity - pieces[i]])
+
+    place(0, [])
+    return best
+
+
+def test_plans_against_exact_packing_and_best_fit():
+    rng = np.random.default_rng(6)
+    exact = 0
+    for _ in range(80):
+        pieces = sorted(rng.integers(1, 20, rng.integers(1, 10)).tolist(), reverse=True)
+        counts = np.bincount(pieces, minlength=21)
+        n = sum(m for _, m in packing.plan_sequences({k: int(v) for k, v in enumerate(counts) if v}, 20))
+        assert fewest(pieces, 20) <= n <= sum(m for _, m in packing.best_fit(counts.copy(), 20))
+        exact += n == fewest(pieces, 20)
+    assert exact == 80
+    for high in (300, 700, 1024):
+        counts = np.bincount(rng.integers(1, high + 1, 3_000), minlength=1025)
+        n = sum(m for _, m in packing.plan_sequences({k: int(v) for k, v in enumerate(counts) if v}))
+        bound = -(-int(counts @ np.arange(1025)) // 1024)
+        assert n <= sum(m for _, m in packing.best_fit(counts.copy(), 1024))
+        assert high == 1024 or n <= bound + 2  # of lengths up to the capacity many have no partner
+    assert packing.plan_sequences({}) == []
+
+
+def test_rows_of_one_doc_id_over_many_shards(spark, tmp_path):
+    docs = spark.createDataFrame([(5 if i % 3 else None, f"text {i % 40} " * (i % 7)) for i in range(300)] + [(1, "first"), (9, "last")], "doc_id long, text string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_output.write_token_files(docs, f"file://{tmp_path}/t", VOCAB, block_ids=50)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.read.parquet(f"file://{tmp_path}/t/blocks").select("shard").distinct().count() > 3
+    rows = sorted(token_output.read_token_files(spark, f"file://{tmp_path}/t").collect(), key=lambda r: r["start"])
+    at = 0
+    for r in rows:
+        assert r["start"] == at and r["n_tokens"] == len(r["ids"]) and r["ids_crc32"] == crc(r["ids"])
+        at += r["n_tokens"]
+    assert [r["doc_id"] for r in rows] == [None] * 100 + [1] + [5] * 200 + [9]
+    texts = sorted(tuple(r["ids"]) for r in rows)
+    assert texts == sorted(tuple([*ids(r["text"]), 0]) for r in docs.collect())
+
+
 def test_token_files_round_trip(spark, tmp_path):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string, start string")
     token_output.write_token_files(docs, f"file://{tmp_path}/t", VOCAB, block_ids=500)

@@ -3,9 +3,11 @@
 The lengths of all pieces form a histogram of at most ``capacity`` rows, whatever the corpus. Over it stands the
 configuration linear program of cutting-stock: choose how often to use each multiset of lengths that fits one
 sequence, covering every length's count, with as few sequences as possible. Multiplicative weights solve it: each
-length carries a price, a knapsack dynamic program finds the dearest configuration, that configuration is used and
-the prices of what it covers fall. The fractional uses are rounded down to whole configurations whose items all
-exist; what is left goes through the same program again and, when that adds nothing more, is placed best fit.
+length carries a price, in each round a knapsack dynamic program finds the dearest configurations for all pieces, and
+prices of lengths that stood beside empty room are multiplied up, so that the next round places them while there is
+choice. The average of the rounds is the program's fractional solution. It is rounded down to whole configurations
+whose items all exist; what is left is covered at the last prices or best fit. A round's own cover is whole already;
+the fewest sequences of all are taken, and rounds end where they reach the total length, which none can beat.
 Every step works on counts, so its cost depends on the capacity alone. Documents then find their place from their
 length and their rank among pieces of that length.
 """
@@ -32,77 +34,79 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task
 # --- the program over the histogram -------------------------------------------------------------------------------
 
 
-def price_configurations(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Knapsack pricing by dynamic programming: for each room, the largest total price of a multiset of lengths within it and the length to take first."""
-    best = np.zeros(capacity + 1)
-    took = np.zeros(capacity + 1, np.int64)
-    dear = prices[lengths]
-    for room in range(int(lengths[0]), capacity + 1):
-        k = int(np.searchsorted(lengths, room, "right"))
-        value = best[room - lengths[:k]] + dear[:k]
-        i = int(np.argmax(value))
-        if value[i] > best[room - 1]:
-            best[room], took[room] = value[i], lengths[i]
-        else:
-            best[room] = best[room - 1]
-    return best, took
-
-
-def _filled(room: int, took: list[int]) -> list[int]:
-    out = []
-    while room > 0:
-        if t := took[room]:
-            out.append(t)
-            room -= t
-        else:
-            room -= 1
-    return out
+Configuration = tuple[tuple[int, int], ...]  # (length, copies), ascending
 
 
-def solve_fractional(counts: np.ndarray, capacity: int, steps: int, rate: float) -> dict[tuple[int, ...], float]:
-    """Multiplicative weights for the covering program: configurations (lengths, longest first) and how often each is used.
+def dearest(room: int, order: list[int], left: list[int]) -> dict[int, int]:
+    """Knapsack by dynamic programming over whole tokens: the fullest filling of ``room`` from ``left`` copies of each length, of equally full ones that of the lengths first in ``order``.
 
-    Step t brings every length to t/steps of its count. A length that is behind uses the dearest configuration that
-    holds it; a length that others have carried ahead of its share loses price, so later configurations avoid it.
+    ``reach`` has bit r set where some filling comes to r tokens; copies are added by doubling.
     """
-    lengths = np.flatnonzero(counts)
-    price = np.zeros(capacity + 1)
-    price[lengths] = lengths / capacity
-    uses: dict[tuple[int, ...], float] = {}
-    covered = [0.0] * (capacity + 1)
-    need = counts.astype(float).tolist()
-    order = lengths[::-1].tolist()
-    for t in range(1, steps + 1):
-        took = price_configurations(price, lengths, capacity)[1].tolist()
-        for length in order:
-            behind = need[length] * t / steps - covered[length]
-            if behind <= 1e-9:
-                continue
-            config = [length, *_filled(capacity - length, took)]
-            use = behind / config.count(length)
-            key = tuple(sorted(config, reverse=True))
-            uses[key] = uses.get(key, 0.0) + use
-            for x in config:
-                covered[x] += use
-        ahead = np.array(covered)[lengths] / counts[lengths] - t / steps
-        price[lengths] = np.clip(price[lengths] * np.exp(-rate * np.clip(ahead * steps, -3, 3)), lengths / (2 * capacity), 2 * lengths / capacity)
-    return uses
-
-
-def round_down(uses: dict[tuple[int, ...], float], counts: np.ndarray, capacity: int, least: float) -> list[tuple[dict[int, int], int]]:
-    """Whole uses of the configurations that leave at most a share ``least`` of a sequence empty; takes their items out of ``counts``."""
-    out, carried = [], 0.0
-    for key, x in sorted(uses.items(), key=lambda u: (u[0], u[1]), reverse=True):  # longest items first, so that carried shares stay among like configurations
-        if sum(key) < (1 - least) * capacity:
+    reach, whole, stages = 1, (1 << room + 1) - 1, []
+    for length in order:
+        todo = min(left[length], room // length)
+        if todo <= 0:
+            continue
+        stages.append((length, reach))
+        some = 1
+        while todo > 0:
+            reach |= (reach << length * min(some, todo)) & whole
+            todo -= some
+            some *= 2
+        if reach >> room & 1:
+            break
+    at, out = reach.bit_length() - 1, {}
+    for length, before in reversed(stages):
+        copies = 0
+        while not before >> at - copies * length & 1:
+            copies += 1
+        if copies:
+            out[length] = copies
+            at -= copies * length
+    return out
+
+
+def cover(counts: np.ndarray, price: np.ndarray, capacity: int) -> Counter[Configuration]:
+    """Whole configurations that hold exactly the pieces counted: the dearest length left with the dearest filling beside it, as often as its items last."""
+    left, out = counts.tolist(), Counter()
+    order = sorted(np.flatnonzero(counts).tolist(), key=lambda n: (-price[n], -n))
+    while order := [n for n in order if left[n]]:
+        first = order[0]
+        left[first] -= 1
+        config = dearest(capacity - first, order, left)
+        left[first] += 1
+        config[first] = config.get(first, 0) + 1
+        uses = min(left[n] // k for n, k in config.items())
+        for n, k in config.items():
+            left[n] -= k * uses
+        out[tuple(sorted(config.items()))] += uses
+    return out
+
+
+def raised(price: np.ndarray, uses: Counter[Configuration], counts: np.ndarray, capacity: int, rate: float) -> np.ndarray:
+    """Prices after a round: up by the share of empty room that a length's pieces stood beside, by ``exp(rate)`` at most."""
+    loss = np.zeros(capacity + 1)
+    for config, n in uses.items():
+        empty = capacity - sum(length * k for length, k in config)
+        if empty:
+            for length, k in config:
+                loss[length] += n * k * empty / capacity
+    return price * np.exp(rate * np.minimum(4 * loss / np.maximum(counts, 1), 1))
+
+
+def round_down(uses: Counter[Configuration], rounds: int, counts: np.ndarray, capacity: int) -> Counter[Configuration]:
+    """Whole uses of the full configurations of ``uses`` / ``rounds``; takes their items out of ``counts``."""
+    out, carried = Counter(), 0.0
+    for config, n in sorted(uses.items(), key=lambda u: u[0][::-1], reverse=True):  # longest items first, so that carried shares stay among like configurations
+        if sum(length * k for length, k in config) < capacity:
             continue
-        config = Counter(key)
-        carried += x
-        n = min([int(carried + 1e-9), *(int(counts[a]) // b for a, b in config.items())])
-        carried = min(carried - n, 1.0)
-        if n > 0:
-            out.append((dict(config), n))
-            for a, b in config.items():
-                counts[a] -= n * b
+        carried += n / rounds
+        whole = min([int(carried + 1e-9), *(int(counts[length]) // k for length, k in config)])
+        carried = min(carried - whole, 1.0)
+        if whole > 0:
+            out[config] += whole
+            for length, k in config:
+                counts[length] -= k * whole
     return out
 
 
@@ -135,22 +139,35 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], in
     return [(dict(c), n) for r in rooms.values() for c, n in r.items()]
 
 
-def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = 40, rate: float = 0.05, passes: int = 4, least: float = 0.0) -> list[tuple[dict[int, int], int]]:
+def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 24, rate: float = 0.5) -> list[tuple[dict[int, int], int]]:
     """Whole configurations and their multiplicities that hold exactly the pieces of ``histogram``."""
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         if not 0 < length <= capacity:
             raise ValueError(f"a piece of {length} tokens does not fit {capacity}")
         counts[length] = n
-    out: list[tuple[dict[int, int], int]] = []
-    for _ in range(passes):
-        if not counts.any():
+    bound = -(-int(counts @ np.arange(capacity + 1)) // capacity)
+    price, total = np.arange(capacity + 1) / capacity, Counter()
+    best: list[tuple[dict[int, int], int]] | None = None
+
+    def offer(plan: list[tuple[dict[int, int], int]]) -> bool:
+        """Keep the plan if it is the shortest; whether none can be shorter."""
+        nonlocal best
+        if best is None or sum(n for _, n in plan) < sum(n for _, n in best):
+            best = plan
+        return sum(n for _, n in best) <= bound
+
+    for t in range(1, rounds + 1):
+        uses = cover(counts, price, capacity)
+        total.update(uses)
+        if offer([(dict(c), n) for c, n in uses.items()]):
             break
-        placed = round_down(solve_fractional(counts, capacity, steps, rate), counts, capacity, least)
-        out += placed
-        if not placed:
+        rest = counts.copy()
+        whole = [(dict(c), n) for c, n in round_down(total, t, rest, capacity).items()]
+        if offer(whole + [(dict(c), n) for c, n in cover(rest, price, capacity).items()]) or offer(whole + best_fit(rest, capacity)):
             break
-    return out + best_fit(counts, capacity)
+        price = raised(price, uses, counts, capacity, rate)
+    return best or []
 
 
 def placement(plan: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:

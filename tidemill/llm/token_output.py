@@ -158,7 +158,8 @@ def global_counts(ids: DataFrame, size: int = 65_536) -> np.ndarray:
 def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> None:
     """Write the ids of ``docs`` (doc_id, text) to ``path`` in ascending doc_id order, null ids first.
 
-    Rows that repeat a doc_id stand next to each other, ordered by their ids. An empty table gives an empty file set.
+    Rows that repeat a doc_id stand next to each other, ordered by a hash of their ids, so that many of them spread over
+    shards. An empty table gives an empty file set.
     """
     spark = scratch.prepare(docs)
     ids = scratch.materialize(tokenized(docs, vocabulary, end_id), "ids")
@@ -194,7 +195,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
         if held:
             yield flush()
 
-    ordered = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    keyed = ids.withColumn("salt", F.xxhash64("ids"))
+    ordered = keyed.repartitionByRange("doc_id", "salt").sortWithinPartitions("doc_id", "salt").select("doc_id", "ids")
     ordered.mapInArrow(scratch.tidy(run), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
