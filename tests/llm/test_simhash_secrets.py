@@ -121,12 +121,55 @@ def test_guess_cost_orders_values():
     assert [CASES[8][a:b] for k, a, b in secrets_scan.scan(CASES[8]) if k == "guess"] == ["q8Zr-7YpLw.2Xc9Tn4"]
 
 
-def test_guess_cost_equals_exhaustive_segmentation():
-    # every way to cut a short value, each span priced alone by the program itself where it is a word, or by its characters
-    value, each = "abpassxy", np.log10(26)
-    whole = secrets_scan.guess_cost(value)
-    rank = secrets_scan.WORDS["pass"]
-    assert whole == pytest.approx(4 * each + np.log10(rank + 1) + 0.3)
+def every_segmentation(value):
+    """The least cost over all ways to cut ``value``, each part priced by itself."""
+    each = np.log10(secrets_scan._charset(value))
+    leet = dict(zip("4301$57@", "aeoissta", strict=True))
+    runs = {k for m in re.finditer("[0-9]{3,}", value) for k in range(*m.span())}
+
+    def part(i, j):
+        v, found = value[i:j], []
+        low = v.lower()
+        plain = "".join(leet.get(c, c) for c in low)
+        if j - i == 1:
+            found.append(0.3 if v in "-_./ " else 1.0 if i in runs else each)
+        if len(v) <= 20 and plain in secrets_scan._ranks() and len(v) > 1:
+            found.append(np.log10(secrets_scan._ranks()[plain] + 1) + 0.6 * (v != low) + 0.6 * (plain != low) + 0.3)
+        if len(v) > 2 and any(low in row or low in row[::-1] for row in secrets_scan.ROWS):
+            found.append(1.7 + np.log10(len(v)) + 0.3)
+        for p in range(1, min(16, len(v) // 2) + 1):
+            if len(v) > 2 and (v[:p] * len(v))[: len(v)] == v:
+                found.append(p * each + np.log10(len(v)) + 0.3)
+        if re.fullmatch("(19|20)[0-9]{2}", v):
+            found.append(np.log10(120) + 0.3)
+        if re.fullmatch("(19|20)[0-9]{2}(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])", v):
+            found.append(np.log10(120 * 366) + 0.3)
+        return min(found, default=None)
+
+    def least(i):
+        if i == len(value):
+            return 0.0
+        return min(c + least(j) for j in range(i + 1, len(value) + 1) if (c := part(i, j)) is not None)
+
+    return least(0)
+
+
+@pytest.mark.parametrize("value", ["abpassxy", "P4ssw0rd99", "qwe-rty.1234", "xyxyxyz", "aaa111aaa1", "love1999!", "k20240131", "of-the-art", "zq9!Zq9!", "dragon_9"])
+def test_guess_cost_equals_exhaustive_segmentation(value):
+    assert secrets_scan.guess_cost(value) == pytest.approx(every_segmentation(value))
+
+
+def test_planted_secrets_and_prose():
+    import random
+    import string
+
+    rng = random.Random(2)
+    draw = lambda chars, n: "".join(rng.choices(chars, k=n))
+    secrets = [f"{lead}{v} end" for lead in ("pwd: ", "login = ", "passphrase: ", "Authorization: Bearer ", "secret ") for v in [draw(string.ascii_letters + string.digits + "!#$%&*+", rng.randint(12, 30)) + "Q" for _ in range(40)]]
+    prose = [f"{a} {b} again" for a in ("the secret", "a login", "Password", "this token is", "credentials") for b in ("long-standing", "self-service", "well-known-location", "state-of-the-art", "Geschwindigkeitsbegrenzung", "utilisateur-administrateur", "requirements/recommendations", "administration", "https://www.example.com/users/sign_in?next=/home&id=83hf7Gd", "jean-baptiste@example.com", "INTERNATIONAL", "Donaudampfschifffahrt")]
+    found = [any(k == "guess" for k, *_ in secrets_scan.scan(t)) for t in secrets]
+    assert all(found), [t for t, f in zip(secrets, found, strict=True) if not f]
+    assert [t for t in prose if secrets_scan.scan(t)] == []
 
 
 def test_find_and_redact(spark):
