@@ -2,6 +2,8 @@ import re
 from collections import Counter
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from tidemill.llm import decontaminate, queries, url_filter
 
 
@@ -44,12 +46,33 @@ def test_contained_items_equal_all_pairs(spark):
     assert len(got) == len(set(got)) and set(got) == plain_contained(docs, items)
     assert decontaminate.contained_items(a.limit(0), b).count() == 0 and decontaminate.contained_items(a, b.limit(0)).count() == 0
     kept = decontaminate.drop_contaminated(a, b)
-    bad = {d for d, *_ in plain_contained(docs, items)}
     assert kept.columns == a.columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(d) for d, _ in docs if d is None or d not in bad)
+    clean = [(d, t) for d, t in docs if not plain_contained([(d, t)], items)]
+    assert len(clean) < len(docs) - 20 and Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter(clean)
+
+
+def test_partitions_of_items_bound_what_documents_ask(spark):
+    import random
 
+    rng = random.Random(5)
+    some = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    items = spark.createDataFrame([(i, some(n)) for i, n in enumerate([2] * 5 + [5] * 5 + [8] * 20 + [40] * 20 + [300] * 20)], "item_id long, text string")
+    docs = spark.createDataFrame([(0, some(20_000))], "doc_id long, text string")
+    sketches = decontaminate.item_sketches(items).cache()
+    bounds = decontaminate.bounds_of(sketches)
+    assert len(bounds) == 5 and all(r["sketch"] == sorted(r["sketch"]) and len(r["sketch"]) == r["q"] - r["least"] + 1 for r in sketches.collect())
+    split = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), decontaminate.words_of(F.col("text")).alias("words"))
+    asked = {part: (n, top) for part, n, top in decontaminate.asked_hashes(split, bounds).groupBy("part").agg(F.count("*"), F.max("h")).collect()}
+    for part, n, top in bounds:
+        share = asked[part][0] / (20_000 - n + 1)
+        assert asked[part][1] <= top
+        assert share < {5 * 64 + 2: 0.9, 5 * 64 + 5: 0.5, 5 * 64 + 8: 0.35}.get(part, 1)
+    seen, keys = decontaminate.asked_hashes(split, bounds), sketches.select("item_id", "part", F.explode("sketch").alias("h"))
+    plan = seen.join(keys, ["part", "h"])._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Join \[part#\d+, h#\d+L\], \[part#\d+, h#\d+L\]", plan) and "Python" not in plan
 
-def plain_tokens(url, mined):
+
+def plain_tokens(url):
     after = url.split("://", 1)[1] if url and "://" in url else ""
     host = re.match("[^/?#]*", after)[0]
     path = re.match("[^?#]*", after[len(host) :])[0]
@@ -57,18 +80,17 @@ def plain_tokens(url, mined):
     fold = lambda p, xs: [p + re.sub("[0-9]+", "#", x) for x in xs if x]
     low = "".join(c.lower() if c.isascii() else c for c in host)
     h, p, q = fold("host:", low.split(".")), fold("path:", path.split("/")), fold("query:", [x.split("=")[0] for x in query.split("&")])
-    if mined:
-        h, p, q = h[-4:], p[:4], q[:3]
     return low, path, list(dict.fromkeys(h + p + q))
 
 
 def plain_verdicts(pages, rules, support, confidence):
     judged = []
     for i, url in pages:
-        host, path, _ = plain_tokens(url, False)
+        host, path, _ = plain_tokens(url)
         fits = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
         judged.append((i, url, host, path, *(max(fits)[1:] if fits else (None, None))))
-    rows = [(plain_tokens(u, True)[2], v) for _, u, _, _, r, v in judged if r]
+    # what the deciding rule names is no evidence
+    rows = [([t for t in plain_tokens(u)[2] if t not in plain_tokens("://" + r)[2]], v) for _, u, _, _, r, v in judged if r]
     both, alone = Counter(), Counter()
     for toks, v in rows:
         for k in (1, 2, 3):
@@ -80,7 +102,7 @@ def plain_verdicts(pages, rules, support, confidence):
     out = []
     for i, u, host, path, rule, v in judged:
         if rule is None:
-            toks = set(plain_tokens(u, False)[2])
+            toks = set(plain_tokens(u)[2])
             v = max(((conf, len(c), both[c, v], v) for (c, v), conf in mined.items() if set(c) <= toks), default=(0, 0, 0, "allow"))[3]
         out.append((i, host, path, rule, v))
     return out
@@ -101,3 +123,14 @@ def test_url_verdicts_equal_plain_mining(spark):
     assert url_filter.filter_urls(df.limit(0), queries.URL_RULES).count() == 0
     only_open = df.where("page_id = 906")
     assert [r["verdict"] for r in url_filter.filter_urls(only_open, queries.URL_RULES).collect()] == ["allow"]
+
+
+def test_mined_rules_do_not_echo_the_given_ones(spark):
+    rows = [(f"http://{'win-big' if i % 4 == 0 else f's{i}'}.example.{'net' if i % 4 == 0 else 'com'}/{'fr' if i % 4 == 0 else 'de'}/{i}",) for i in range(200)]
+    df = spark.createDataFrame([(i, u) for i, (u,) in enumerate(rows)] + [(900, "http://other.net/en/1"), (901, "http://win-big.example.org/en/1")], "page_id long, url string")
+    found = {r["page_id"]: r for r in url_filter.filter_urls(df, queries.URL_RULES, min_support=0.05).collect()}
+    assert found[0]["rule"] == "net/fr/" and found[0]["verdict"] == "block"
+    assert found[900]["rule"] is None and found[900]["verdict"] == "allow"  # host:net alone is the given rule's word
+    assert found[901]["verdict"] == "block"
+    quality = {r["label"]: r for r in url_filter.held_out_precision(df, queries.URL_RULES, min_support=0.05).collect()}
+    assert all(0 <= r["right"] <= r["judged"] <= r["pages"] for r in quality.values())

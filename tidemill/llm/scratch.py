@@ -12,8 +12,10 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemill.session import ship_package
 
@@ -73,3 +75,42 @@ def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
                 pass
 
     return tidied
+
+
+def whole_groups(batches: Batches, keys: list[str]) -> Iterator[pa.Table]:
+    """Tables cut between groups of rows with equal long ``keys``, from batches in which such rows stand together."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        head = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in keys], 1)
+        other = np.flatnonzero((head != head[-1]).any(1))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if held and not cut and tuple(head[0]) != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        elif cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+        last = tuple(head[-1])
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+#: Words of 64 bits in a filter of keys: 8 MB of bits, whatever the number of keys.
+FILTER_WORDS = 1 << 20
+
+
+def probably_in(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` (long) may be among those of ``keys`` (column key), before an exact join.
+
+    A bitmap of fixed size is broadcast: at most FILTER_WORDS rows, a proven bound. It keeps all rows that the join
+    needs, and the rest but for chance hits, so the join does not shuffle the whole table for a few rows.
+    """
+    place = lambda k: F.pmod(k, F.lit(64 * FILTER_WORDS))
+    bits = keys.select(place(F.col("key")).alias("p")).select(F.shiftright("p", 6).alias("word"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("bit"))
+    bits = materialize(bits.groupBy("word").agg(F.bit_or("bit").alias("bits")), "filter")
+    asked = df.withColumn("_p", place(key)).withColumn("_w", F.shiftright("_p", 6))
+    return asked.join(F.broadcast(bits), F.col("_w") == F.col("word")).where("(bits & shiftleft(1L, cast(_p % 64 as int))) <> 0").select(*df.columns)

@@ -1,7 +1,9 @@
 """URL filtering: given rules first, mined association rules for the rest. DataFrame functions only.
 
 FP-growth mines combinations of URL tokens and labels; rules from tokens to a label are pruned by confidence, support
-and redundancy. An inverted index from token to rule finds the rules whose tokens a URL all has.
+and redundancy. Pages that a given rule decides are the labels. The tokens that the deciding rule itself names are left
+out of such a page's evidence: otherwise mining would only hand the given rules' own words back, wider than they were
+meant. An inverted index holds each mined rule under its rarest token and finds the rules whose tokens a URL all has.
 """
 
 from __future__ import annotations
@@ -42,11 +44,11 @@ def query_of(url: Column) -> Column:
 
 
 def longest_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
-    """Struct (rule, verdict) of the longest of ``rules`` (verdict, host, path) that fits; null if none does."""
-    best = F.lit(None).cast("struct<rule:string,verdict:string>")
+    """Struct (rule, verdict, own) of the longest of ``rules`` (verdict, host, path) that fits, ``own`` being the tokens that it names; null if none does."""
+    best = F.lit(None).cast("struct<rule:string,verdict:string,own:array<string>>")
     for verdict, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
-        best = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(best)
+        best = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"), tokens(F.lit(f"://{h}{p}")).alias("own"))).otherwise(best)
     return best
 
 
@@ -64,21 +66,23 @@ def tokens(url: Column) -> Column:
 
 
 def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """(rule_id, tokens, label, confidence, support) from ``labelled`` (url, label). Rows with a null url or label teach nothing.
+    """(rule_id, tokens, label, confidence, support, rarest) from ``labelled`` (url, label and, if given, own: tokens that are no evidence).
 
-    A rule goes if another for the same label with some of its tokens is at least as confident.
+    Rows with a null url or label teach nothing. A rule goes if another for the same label with some of its tokens is
+    at least as confident. ``rarest`` is its token that the fewest labelled URLs have.
     """
     spark = labelled.sparkSession
-    shape = "rule_id long, tokens array<string>, label string, confidence double, support double"
-    known = labelled.where("url IS NOT NULL AND label IS NOT NULL").select(tokens(F.col("url")).alias("items"), F.concat(F.lit("label="), F.col("label")).alias("label"))
+    shape = "rule_id long, tokens array<string>, label string, confidence double, support double, rarest string"
+    own = F.coalesce("own", F.array().cast("array<string>")) if "own" in labelled.columns else F.array().cast("array<string>")
+    known = labelled.where("url IS NOT NULL AND label IS NOT NULL").select(F.array_except(tokens(F.col("url")), own).alias("items"), F.concat(F.lit("label="), F.col("label")).alias("label"))
     known = scratch.materialize(known.withColumn("row", F.monotonically_increasing_id()), "labelled")
     count = known.count()
     if not count:
         return spark.createDataFrame([], shape)
     # A token below the support stands in no rule: without it transactions are small and lose nothing.
     each = known.select("row", F.explode("items").alias("token"))
-    common = scratch.materialize(each.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= math.ceil(min_support * count)).select("token"), "common")
-    seen = scratch.materialize(each.join(common, "token").groupBy("row").agg(F.collect_list("token").alias("items")), "transactions")
+    common = scratch.materialize(each.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= math.ceil(min_support * count)).select("token", "n"), "common")
+    seen = scratch.materialize(each.join(common.select("token"), "token").groupBy("row").agg(F.collect_list("token").alias("items")), "transactions")
     left = known.select("row", "label").join(seen, "row", "left")
     data = left.select(F.array_append(F.coalesce("items", F.array().cast("array<string>")), F.col("label")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(data)
@@ -90,16 +94,17 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     narrow = rules.select(F.col("rule_id").alias("other"), F.col("label").alias("label2"), "tokens", "confidence", F.explode("tokens").alias("token2"))
     worse = wide.join(narrow, (wide.token == narrow.token2) & (wide.label == narrow.label2) & (F.size("tokens") < F.size("all")) & (narrow.confidence >= wide.c))
     worse = worse.where(F.size(F.array_except("tokens", "all")) == 0).select("rule_id").distinct()
-    return scratch.materialize(rules.join(worse, "rule_id", "left_anti").select("rule_id", "tokens", "label", "confidence", "support"), "pruned")
+    rare = rules.select("rule_id", F.explode("tokens").alias("token")).join(common, "token").groupBy("rule_id").agg(F.min(F.struct("n", "token"))["token"].alias("rarest"))
+    return scratch.materialize(rules.join(worse, "rule_id", "left_anti").join(rare, "rule_id").select("rule_id", "tokens", "label", "confidence", "support", "rarest"), "pruned")
 
 
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(url, label) for each distinct url of ``urls`` that some rule fits: the most confident, then longest, then best supported, then first label."""
-    index = rules.select("rule_id", "label", "confidence", "support", F.size("tokens").alias("need"), F.explode("tokens").alias("token"))
-    asked = urls.select("url").where("url IS NOT NULL").distinct().withColumn("token", F.explode(tokens(F.col("url"))))
-    hits = asked.join(index, "token").groupBy("url", "rule_id").agg(F.count("*").alias("have"), F.first("need").alias("need"), F.first("label").alias("label"), F.first("confidence").alias("confidence"), F.first("support").alias("support"))
+    index = rules.select("label", "confidence", "support", F.size("tokens").alias("need"), "tokens", F.col("rarest").alias("token"))
+    asked = urls.select("url").where("url IS NOT NULL").distinct().withColumn("all", tokens(F.col("url")))
+    hits = asked.withColumn("token", F.explode("all")).join(index, "token").where(F.size(F.array_except("tokens", "all")) == 0)
     rank = F.struct("confidence", "need", "support", F.col("label"))
-    return hits.where("have = need").groupBy("url").agg(F.max(rank).alias("best")).select("url", F.col("best.label").alias("label"))
+    return hits.groupBy("url").agg(F.max(rank).alias("best")).select("url", F.col("best.label").alias("label"))
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], **mining: float) -> DataFrame:
@@ -112,8 +117,23 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], **mining: f
     url = F.col("url")
     base = pages.select("page_id", F.col("url").cast("string").alias("url")).withColumns({"host": host_of(url), "path": path_of(url)})
     judged = base.withColumn("given", longest_rule(F.col("host"), F.col("path"), rules))
-    mined = mine_rules(judged.where("given IS NOT NULL").select("url", F.col("given.verdict").alias("label")), **mining)
+    mined = mine_rules(judged.where("given IS NOT NULL").select("url", F.col("given.verdict").alias("label"), F.col("given.own").alias("own")), **mining)
     found = scratch.materialize(match_rules(judged.where("given IS NULL"), mined), "verdicts")
     open_, done = judged.where("given IS NULL"), judged.where("given IS NOT NULL")
     verdict = open_.join(found, "url", "left").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.coalesce("label", F.lit(DEFAULT)).alias("verdict"))
     return done.select("page_id", "host", "path", F.col("given.rule").alias("rule"), F.col("given.verdict").alias("verdict")).unionByName(verdict)
+
+
+def held_out_precision(pages: DataFrame, rules: list[tuple[str, str, str]], folds: int = 5, **mining: float) -> DataFrame:
+    """(label, judged, right, pages): how mined rules do on pages whose verdict is known but whose hosts they have not seen.
+
+    One fold of the decided pages' hosts is held out; rules are mined on the others. ``pages`` counts the held-out pages
+    of each verdict, ``judged`` those that some mined rule gives a verdict, ``right`` those that get their own.
+    """
+    url = F.col("url")
+    base = pages.select(F.col("url").cast("string").alias("url")).withColumn("host", host_of(url)).withColumn("given", longest_rule(F.col("host"), path_of(url), rules)).where("given IS NOT NULL")
+    held = F.pmod(F.xxhash64("host"), F.lit(folds)) == 0
+    mined = mine_rules(base.where(~held).select("url", F.col("given.verdict").alias("label"), F.col("given.own").alias("own")), **mining)
+    asked = base.where(held).select("url", F.col("given.verdict").alias("label"))
+    found = match_rules(asked, mined).select("url", F.col("label").alias("said"))
+    return asked.join(found, "url", "left").groupBy("label").agg(F.count("said").alias("judged"), F.count(F.when(F.col("said") == F.col("label"), 1)).alias("right"), F.count("*").alias("pages"))
