@@ -58,3 +58,29 @@ def test_traversal_is_in_order_of_summed_distance():
     total = embedding_dedup.squared_distances(x[:, :4], books[0])[:, :, None] + embedding_dedup.squared_distances(x[:, 4:], books[1])[:, None, :]
     want = np.argsort(total.reshape(50, -1), axis=1)[:, :9]
     assert (embedding_dedup.nearest_cells(x, books, 9) == want).all()
+
+
+def test_links_of_production_shape(spark):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((1_500, 64))
+    noise = rng.standard_normal((1_500, 64))
+    x = np.concatenate([x, x / np.linalg.norm(x, axis=1)[:, None] + rng.uniform(0, 0.4, (1_500, 1)) * noise / np.linalg.norm(noise, axis=1)[:, None]]).astype(np.float32)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_vectors(df).collect()}
+    y = x.astype(float)
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    want = (y @ y.T >= 0.95).sum(1) - 1
+    assert want.sum() > 1_500 and all(got[i] <= n for i, n in enumerate(want.tolist()))
+    assert sum(got.values()) >= 0.99 * want.sum()
+
+
+def test_calibration_meets_its_target_or_says_so(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((400, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    books = (embedding_dedup.codebook(x[:, :16], 40, 1), embedding_dedup.codebook(x[:, 16:], 40, 2))
+    cells, recall = embedding_dedup.calibrate(x, books, 0.6, 0.99)
+    assert cells > 1 and recall >= 0.99
+    monkeypatch.setattr(embedding_dedup, "MOST_CELLS", 1)
+    with pytest.raises(ValueError, match="under the target"):
+        embedding_dedup.calibrate(x, books, 0.6, 0.99)

@@ -12,6 +12,7 @@ leaves are counts of links and the links of a spanning forest. A pair that meets
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 
 from tidemill.llm import components, scratch
 
+log = logging.getLogger(__name__)
+
 THRESHOLD = 0.95
 TARGET_RECALL = 0.999
 #: Codebooks and the number of cells are fitted on this many distinct vectors at most, those of the smallest hash.
@@ -28,7 +31,8 @@ SAMPLE_VECTORS = 8_000
 PER_CELL = 8  # distinct vectors a cell should hold
 MAX_CODEWORDS = 1_024
 BLOCK_VECTORS = 2_048
-TRIED_CELLS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128)
+MOST_CELLS = 1_024
+TRIED_CELLS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, MOST_CELLS)
 
 
 # --- the index ----------------------------------------------------------------------------------------------------
@@ -80,8 +84,8 @@ def meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] == b[:, None, :]).any((1, 2))
 
 
-def calibrate(sample: np.ndarray, books: tuple[np.ndarray, np.ndarray], threshold: float, target: float, seed: int = 11) -> int:
-    """The fewest cells at which pairs at the threshold or above meet as often as ``target``.
+def calibrate(sample: np.ndarray, books: tuple[np.ndarray, np.ndarray], threshold: float, target: float, seed: int = 11) -> tuple[int, float]:
+    """(the fewest cells tried at which pairs at the threshold or above meet as often as ``target``, how often they do). It raises where MOST_CELLS are too few.
 
     The pairs are those within the sample and, so that a sample without any still tells, sampled vectors with copies
     turned away by random angles up to the threshold's.
@@ -101,11 +105,15 @@ def calibrate(sample: np.ndarray, books: tuple[np.ndarray, np.ndarray], threshol
     right.append(sample[j[pick]])
     a, b = np.concatenate(left), np.concatenate(right)
     most = len(books[0]) * len(books[1])
-    for cells in (c for c in TRIED_CELLS if c < most):
+    reached = 0.0
+    for cells in (c for c in TRIED_CELLS if c < min(most, MOST_CELLS + 1)):
         x, y = nearest_cells(a, books, cells), nearest_cells(b, books, cells)
-        if np.mean([meet(x[k : k + 256], y[k : k + 256]).mean() for k in range(0, len(x), 256)]) >= target:
-            return cells
-    return min(most, TRIED_CELLS[-1])
+        reached = float(np.mean(np.concatenate([meet(x[k : k + 16], y[k : k + 16]) for k in range(0, len(x), 16)])))
+        if reached >= target:
+            return cells, reached
+    if most <= MOST_CELLS:
+        return most, 1.0  # the whole grid
+    raise ValueError(f"pairs meet with recall {reached:.4f} in {MOST_CELLS} cells, under the target of {target}")
 
 
 # --- groups -------------------------------------------------------------------------------------------------------
@@ -169,7 +177,7 @@ def _links(cell: int, x: int, y: int, g: np.ndarray, mult: np.ndarray, block: np
 
 def _same_length(valid: DataFrame, dims: int, threshold: float, target: float) -> DataFrame:
     """(v, n_links, component_id) for each distinct vector of ``dims`` numbers in ``valid`` (vec_id, v)."""
-    spark = valid.sparkSession
+    spark, kind = valid.sparkSession, valid.schema["v"].dataType.simpleString()
     distinct = valid.where(F.size("v") == dims).groupBy("v").agg(F.count("*").alias("mult"), F.min("vec_id").alias("first"))
     distinct = scratch.materialize(distinct.withColumn("g", F.monotonically_increasing_id()), "vectors")
     n = distinct.count()
@@ -185,7 +193,8 @@ def _same_length(valid: DataFrame, dims: int, threshold: float, target: float) -
     sample = unit(distinct.orderBy(F.xxhash64("v"), "v").limit(SAMPLE_VECTORS).select("v").toArrow()["v"])
     k = int(np.clip(np.sqrt(n / PER_CELL), 1, min(MAX_CODEWORDS, max(1, len(sample) // 4))))
     books = (codebook(sample[:, : width // 2], k, 1), codebook(sample[:, width // 2 :], k, 2))
-    t = calibrate(sample, books, threshold, target)
+    t, recall = calibrate(sample, books, threshold, target)
+    log.info("%d vectors of %d numbers: %d codewords a half, %d cells a vector, recall %.4f on the sample", n, dims, k, t, recall)
     shared = spark.sparkContext.broadcast(books)  # at most 2 x MAX_CODEWORDS half vectors
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,15 +207,13 @@ def _same_length(valid: DataFrame, dims: int, threshold: float, target: float) -
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(np.sort(cells, axis=1).ravel()), cells.shape[1]).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), part.column(0).take(row), part.column(1).take(row), lists.take(row), part.column(2).take(row)], names=["cell", "g", "mult", "cells", "v"])
 
-    entries = scratch.materialize(distinct.select("g", "mult", "v").mapInArrow(scratch.tidy(enter), "cell long, g long, mult long, cells array<long>, v array<double>"), "entries")
+    entries = scratch.materialize(distinct.select("g", "mult", "v").mapInArrow(scratch.tidy(enter), f"cell long, g long, mult long, cells array<long>, v {kind}"), "entries")
     sizes = scratch.materialize(entries.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1").withColumn("blocks", F.ceil(F.col("size") / BLOCK_VECTORS).cast("int")), "cells")
     own = F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int")
     dealt = entries.join(sizes, "cell").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("cell", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "g", "mult", "cells", "v")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
         def results(table: pa.Table) -> Iterator[pa.RecordBatch]:
             head = np.stack([table[c].to_numpy().astype(np.int64) for c in ("cell", "x", "y")], 1)
             new = np.flatnonzero((head[1:] != head[:-1]).any(1)) + 1
@@ -223,19 +230,8 @@ def _same_length(valid: DataFrame, dims: int, threshold: float, target: float) -
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z).astype(np.int64)) for z in (a, b, m)], names=["a", "b", "n"])
 
-        for batch in batches:
-            if not len(batch):
-                continue
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            head = np.stack([held[c].to_numpy().astype(np.int64) for c in ("cell", "x", "y")], 1)
-            cut = np.flatnonzero((head != head[-1]).any(1))
-            if len(cut):
-                at = int(cut[-1]) + 1
-                yield from results(held.slice(0, at))
-                held = held.slice(at)
-        if held is not None and len(held):
-            yield from results(held)
+        for table in scratch.whole_groups(batches, ["cell", "x", "y"]):
+            yield from results(table)
 
     found = scratch.materialize(dealt.repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y").mapInArrow(scratch.tidy(compare), "a long, b long, n long"), "found")
     counts = scratch.materialize(found.where("b < 0").groupBy(F.col("a").alias("g")).agg(F.sum("n").alias("n")), "counts")
@@ -255,7 +251,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, target_recall
     is never kept. An empty table gives no rows; other columns are ignored.
     """
     scratch.prepare(vectors)
-    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    # Single precision travels as it is and is widened where it is compared.
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     judged = base.withColumn("ok", F.coalesce(finite, F.lit(False)))
     valid, rest = judged.where("ok"), judged.where("NOT ok")
