@@ -7,6 +7,9 @@ a round reaches the driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,3 +52,40 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     members = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     single = roots.unionByName(loops.select(F.col("u").alias("node"))).select("node", F.col("node").alias("component"))
     return members.unionByName(single).groupBy("node").agg(F.min("component").alias("component"))
+
+
+def spanning(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (smallest node of its component, node) that join what the links u-v join."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        for side in (a, b):
+            np.minimum.at(new, label[side], least)
+            np.minimum.at(new, side, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    other = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[label[other]], nodes[other]
+
+
+def spanning_links(found: Iterator[tuple[np.ndarray, np.ndarray]], most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A task's links as spanning forests: whatever number of groups tells of the same neighbours, a node leaves about once. At most about twice ``most`` links are held."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for u, v in found:
+        if len(u):
+            held.append((u, v))
+            size += len(u)
+        if size > most:
+            held = [spanning(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+            size = len(held[0][0])
+            if 2 * size > most:
+                yield held.pop()
+                size = 0
+    if held:
+        yield spanning(*(np.concatenate(x) for x in zip(*held, strict=True)))

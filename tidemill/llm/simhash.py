@@ -7,7 +7,7 @@ variants are shuffled, and fingerprints that meet on a variant are verified on a
 the plain form: for radius 4 each fingerprint emits 2,081 variants. With two blocks, the default, it emits 66 and
 finds exactly the same pairs; see the README for the figures of both.
 
-Fingerprints that meet are never paired off: within a variant's group only the links of a spanning forest leave.
+Fingerprints that meet are never paired off: only the links of spanning forests leave a task.
 """
 
 from __future__ import annotations
@@ -115,37 +115,25 @@ def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
 def fingerprint_links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """(u, v) links whose components are those of all pairs of distinct fingerprints within ``radius`` bits."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
-
-        def links(b: np.ndarray, k: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            new = np.flatnonzero((k[1:] != k[:-1]) | (b[1:] != b[:-1])) + 1
-            starts, ends = np.concatenate([[0], new]), np.concatenate([new, [len(k)]])
-            size = ends - starts
-            two = starts[size == 2]
-            x, y = fp[two], fp[two + 1]
-            near = np.bitwise_count(x ^ y) <= radius
-            us, vs = [x[near]], [y[near]]
-            for s, e in zip(starts[size > 2].tolist(), ends[size > 2].tolist(), strict=True):
-                u, v = forest(fp[s:e], radius)
-                us.append(u)
-                vs.append(v)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us).view(np.int64)), pa.array(np.concatenate(vs).view(np.int64))], names=["u", "v"])
+    def links(b: np.ndarray, k: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        new = np.flatnonzero((k[1:] != k[:-1]) | (b[1:] != b[:-1])) + 1
+        starts, ends = np.concatenate([[0], new]), np.concatenate([new, [len(k)]])
+        size = ends - starts
+        two = starts[size == 2]
+        x, y = fp[two], fp[two + 1]
+        near = np.bitwise_count(x ^ y) <= radius
+        us, vs = [x[near]], [y[near]]
+        for s, e in zip(starts[size > 2].tolist(), ends[size > 2].tolist(), strict=True):
+            u, v = forest(fp[s:e], radius)
+            us.append(u)
+            vs.append(v)
+        return np.concatenate(us).view(np.int64), np.concatenate(vs).view(np.int64)
 
-        for batch in batches:
-            b, k, fp = (batch.column(i).to_numpy() for i in range(3))
-            fp = fp.view(np.uint64)
-            if held is not None:
-                b, k, fp = (np.concatenate(x) for x in zip(held, (b, k, fp), strict=True))
-            if not len(k):
-                continue
-            # The last group may go on in the next batch.
-            cut = int(np.flatnonzero((k != k[-1]) | (b != b[-1]))[-1]) + 1 if ((k != k[-1]) | (b != b[-1])).any() else 0
-            if cut:
-                yield links(b[:cut], k[:cut], fp[:cut])
-            held = (b[cut:], k[cut:], fp[cut:])
-        if held is not None and len(held[1]):
-            yield links(*held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = scratch.whole_groups(batches, ["block", "variant"])
+        found = (links(*(t[c].to_numpy() for c in ("block", "variant")), t["fp"].to_numpy().view(np.uint64)) for t in groups)
+        for u, v in components.spanning_links(found):
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     met = variants(fps, radius, blocks).repartition("block", "variant").sortWithinPartitions("block", "variant")
     return met.mapInArrow(scratch.tidy(run), "u long, v long")
@@ -175,7 +163,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = R
 SKETCH_BITS = 512
 PASS_BITS = 128  # of the sketch, carried along to judge what meets
 TARGET_RECALL = 0.98
-SMALL_GROUP = 32  # up to this size all pairs of a group are compared at once, beyond it a forest is grown
+SMALL_GROUP = 256  # up to this size all pairs of a group are compared at once, beyond it a forest is grown
 LOOSE_SIGMAS = 3  # what meets is let through up to so many standard deviations over the mean
 #: Sets of few shingles differ in more bits than the limit for large sets says: 3/16 for 4 of 5 shared, the worst at 0.8.
 SHORT_SHINGLES, SHORT_DISAGREEMENT = 16, 0.1875
@@ -223,8 +211,8 @@ def sketch(text: str | None, words: int) -> bytes:
 
 
 def tables_for(n: int, p: float, recall: float = TARGET_RECALL) -> tuple[int, int]:
-    """(bits, tables): key bits that keep random company small among n sketches, and tables in which pairs that differ in a share p of their bits meet with the recall."""
-    bits = int(np.clip(np.ceil(np.log2(max(n, 1))) + 2, 12, 32))
+    """(bits, tables): key bits with which about ``4 * (bits + 1)`` of n sketches meet by chance, and tables in which pairs that differ in a share p of their bits meet with the recall."""
+    bits = int(np.clip(np.ceil(np.log2(max(n, 1))) - 2, 12, 32))
     meets = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1) + bits * (bits - 1) / 2 * p * p * (1 - p) ** (bits - 2)
     return bits, int(np.ceil(np.log(1 - recall) / np.log(1 - meets)))
 
@@ -279,41 +267,28 @@ def similar_links(sketches: DataFrame, similarity: float, n: int) -> DataFrame:
                     key = (key[:, None] ^ masks[None, :]).ravel() | t << 33
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(g[row]), pa.array(f[row, 0]), pa.array(f[row, 1])], names=["key", "g", "f0", "f1"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-
-        def links(key: np.ndarray, g: np.ndarray, f0: np.ndarray, f1: np.ndarray) -> pa.RecordBatch:
-            f = np.stack([f0, f1], 1).view(np.uint64)
-            new = np.flatnonzero(key[1:] != key[:-1]) + 1
-            starts, ends = np.concatenate([[0], new]), np.concatenate([new, [len(key)]])
-            size = np.repeat(ends - starts, ends - starts)
-            us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for d in range(1, min(SMALL_GROUP, int(size.max()))):
-                i = np.flatnonzero((key[:-d] == key[d:]) & (size[d:] <= SMALL_GROUP))
-                i = i[_pass_distance(f[i], f[i + d]) <= np.where(key[i] >> 33 < common, most, most_short)]
-                us.append(g[i])
-                vs.append(g[i + d])
-            for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-                if e - s > SMALL_GROUP:
-                    u, v = _group_links(g[s:e], f[s:e], most if key[s] >> 33 < common else most_short)
-                    us.append(u)
-                    vs.append(v)
-            pairs = np.stack([np.concatenate(us), np.concatenate(vs)], 1)
-            pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["u", "v"])
+    def links(key: np.ndarray, g: np.ndarray, f0: np.ndarray, f1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        f = np.stack([f0, f1], 1).view(np.uint64)
+        new = np.flatnonzero(key[1:] != key[:-1]) + 1
+        starts, ends = np.concatenate([[0], new]), np.concatenate([new, [len(key)]])
+        size = np.repeat(ends - starts, ends - starts)
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for d in range(1, min(SMALL_GROUP, int(size.max()))):
+            i = np.flatnonzero((key[:-d] == key[d:]) & (size[d:] <= SMALL_GROUP))
+            i = i[_pass_distance(f[i], f[i + d]) <= np.where(key[i] >> 33 < common, most, most_short)]
+            us.append(g[i])
+            vs.append(g[i + d])
+        for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+            if e - s > SMALL_GROUP:
+                u, v = _group_links(g[s:e], f[s:e], most if key[s] >> 33 < common else most_short)
+                us.append(u)
+                vs.append(v)
+        return np.concatenate(us), np.concatenate(vs)
 
-        for batch in batches:
-            now = [batch.column(i).to_numpy() for i in range(4)]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            if not len(now[0]):
-                continue
-            cut = int(np.searchsorted(now[0], now[0][-1]))
-            if cut:
-                yield links(*(x[:cut] for x in now))
-            held = [x[cut:] for x in now]
-        if held is not None and len(held[0]):
-            yield links(*held)
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = (links(*(t[c].to_numpy() for c in ("key", "g", "f0", "f1"))) for t in scratch.whole_groups(batches, ["key"]))
+        for u, v in components.spanning_links(found):
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     met = sketches.select("g", "size", "bits").mapInArrow(scratch.tidy(emit), "key long, g long, f0 long, f1 long")
     return met.repartition("key").sortWithinPartitions("key").mapInArrow(scratch.tidy(compare), "u long, v long").distinct()
@@ -357,42 +332,28 @@ def exact_forest(sets: list[np.ndarray], similarity: float, sides: np.ndarray |
 def exact_links(loose: DataFrame, similarity: float) -> DataFrame:
     """(u, v) links whose components are those of all pairs of one loose group with exact similarity, from (component, g, shingles).
 
-    A group is cut into blocks, and every pair of blocks is compared in a piece of its own.
+    Rows may repeat. A group is cut into blocks, and every pair of blocks is compared in a piece of its own.
     """
-    sizes = scratch.materialize(loose.groupBy("component").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK_DOCUMENTS).cast("int")), "loose")
+    sizes = scratch.materialize(loose.groupBy("component").agg(F.count_distinct("g").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK_DOCUMENTS).cast("int")), "loose")
     own = F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int")
     dealt = loose.join(sizes, "component").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "g", "shingles")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def results(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for table in scratch.whole_groups(batches, ["component", "x", "y"]):
             head = np.stack([table[c].to_numpy().astype(np.int64) for c in ("component", "x", "y")], 1)
             new = np.flatnonzero((head[1:] != head[:-1]).any(1)) + 1
             g, side = table["g"].to_numpy(), table["own"].to_numpy()
-            us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for s, e in zip([0, *new.tolist()], [*new.tolist(), len(table)], strict=True):
-                if e - s < 2:
-                    continue
-                sets = [np.frombuffer(b, np.uint64) for b in table["shingles"].slice(s, e - s).to_pylist()]
-                u, v = exact_forest(sets, similarity, side[s:e] if head[s, 1] != head[s, 2] else None)
-                us.append(g[s:e][u])
-                vs.append(g[s:e][v])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+                one = s + np.unique(g[s:e], return_index=True)[1]  # rows that repeat
+                if len(one) > 1:
+                    sets = [np.frombuffer(b, np.uint64) for b in table["shingles"].take(pa.array(one)).to_pylist()]
+                    u, v = exact_forest(sets, similarity, side[one] if head[s, 1] != head[s, 2] else None)
+                    yield g[one[u]], g[one[v]]
 
-        for batch in batches:
-            if not len(batch):
-                continue
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            head = np.stack([held[c].to_numpy().astype(np.int64) for c in ("component", "x", "y")], 1)
-            cut = np.flatnonzero((head != head[-1]).any(1))
-            if len(cut):
-                yield from results(held.slice(0, int(cut[-1]) + 1))
-                held = held.slice(int(cut[-1]) + 1)
-        if held is not None and len(held):
-            yield from results(held)
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for u, v in components.spanning_links(pieces(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     return dealt.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y").mapInArrow(scratch.tidy(compare), "u long, v long")
 
@@ -430,8 +391,9 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     distinct = scratch.materialize(distinct.select("name", "size", "bits", "first", "row.d", "row.h").withColumn("g", F.monotonically_increasing_id()), "distinct")
     loose = components.connected_components(similar_links(distinct.where("size > 0"), similarity, distinct.count())).withColumnRenamed("node", "g")
     asked = scratch.materialize(loose.join(distinct.select("g", "name", "d", "h"), "g"), "asked")
-    sets = asked.join(given.select("d", "h", "text"), ["d", "h"]).select("component", "g", "name", "text").mapInArrow(scratch.tidy(shingles), "component long, g long, shingles binary")
-    links = exact_links(scratch.materialize(sets.dropDuplicates(["g"]), "sets"), similarity)
+    texts = scratch.probably_in(given.select("d", "h", "text"), F.xxhash64("d", "h"), asked.select(F.xxhash64("d", "h").alias("key")))
+    sets = asked.join(texts, ["d", "h"]).select("component", "g", "name", "text").mapInArrow(scratch.tidy(shingles), "component long, g long, shingles binary")
+    links = exact_links(scratch.materialize(sets, "sets"), similarity)
     members = scratch.materialize(components.connected_components(links).withColumnRenamed("node", "g"), "members")
     named = scratch.materialize(members.join(distinct.select("g", "first"), "g").groupBy("component").agg(F.min("first").alias("component_id")), "named")
     joint = scratch.materialize(members.join(named, "component").select("g", "component_id"), "joint")
