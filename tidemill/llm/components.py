@@ -38,10 +38,12 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = scratch.materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = scratch.materialize(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        scratch.discard(now, least)
         # Small star: u and its smaller neighbours link to the smallest of them.
         least = scratch.materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         pairs = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = scratch.materialize(pairs.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        scratch.discard(large, least)
         after = _digest(now)
         if after == before:
             break

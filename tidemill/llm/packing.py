@@ -256,5 +256,5 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, e
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    ranked = pieces.join(before.select("length", "task", "before"), ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("local_rank")).alias("rank"))
+    ranked = pieces.join(before.select("length", "task", "before").hint("merge"), ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("local_rank")).alias("rank"))
     return ranked.mapInArrow(scratch.tidy(put), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

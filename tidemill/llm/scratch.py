@@ -1,6 +1,7 @@
 """Intermediate tables in the folder that all executors share.
 
-Written tables cut lineage: a lost executor costs the rerun of unfinished tasks only, never of earlier stages.
+Written tables cut lineage: a lost executor costs the rerun of unfinished tasks only, never of earlier stages. What no
+later step reads is discarded on the way; the rest goes when the session's process ends.
 """
 
 from __future__ import annotations
@@ -20,13 +21,16 @@ from pyspark.sql import functions as F
 from tidemill.session import ship_package
 
 _own: list[str] = []
+_made: dict[str, SparkSession] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where that is unset (tests), one temporary folder per process."""
+    """The folder named in ``spark.checkpoint.dir``; where that is unset on one machine (tests), one temporary folder per process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="tidemill-scratch-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -34,7 +38,19 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/tidemill/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/tidemill/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_drop_all)
+    _made[path] = spark
+    return path
+
+
+def _drop_all() -> None:
+    for path, spark in list(_made.items()):
+        try:
+            drop(spark, path)
+        except Exception:  # noqa: BLE001  the session has ended before: nothing can be reached any more
+            return
 
 
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -42,7 +58,15 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that no later step reads."""
+    for t in tables:
+        drop(t.sparkSession, t.scratch_path)
 
 
 def drop(spark: SparkSession, path: str) -> None:
@@ -50,6 +74,7 @@ def drop(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _made.pop(path, None)
 
 
 def prepare(df: DataFrame) -> SparkSession:

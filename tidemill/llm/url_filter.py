@@ -83,7 +83,7 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     each = known.select("row", F.explode("items").alias("token"))
     common = scratch.materialize(each.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= math.ceil(min_support * count)).select("token", "n"), "common")
     seen = scratch.materialize(each.join(common.select("token"), "token").groupBy("row").agg(F.collect_list("token").alias("items")), "transactions")
-    left = known.select("row", "label").join(seen, "row", "left")
+    left = known.select("row", "label").join(seen.hint("merge"), "row", "left")
     data = left.select(F.array_append(F.coalesce("items", F.array().cast("array<string>")), F.col("label")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(data)
     label = F.col("consequent")[0]
@@ -120,7 +120,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], **mining: f
     mined = mine_rules(judged.where("given IS NOT NULL").select("url", F.col("given.verdict").alias("label"), F.col("given.own").alias("own")), **mining)
     found = scratch.materialize(match_rules(judged.where("given IS NULL"), mined), "verdicts")
     open_, done = judged.where("given IS NULL"), judged.where("given IS NOT NULL")
-    verdict = open_.join(found, "url", "left").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.coalesce("label", F.lit(DEFAULT)).alias("verdict"))
+    verdict = open_.join(found.hint("merge"), "url", "left").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.coalesce("label", F.lit(DEFAULT)).alias("verdict"))
     return done.select("page_id", "host", "path", F.col("given.rule").alias("rule"), F.col("given.verdict").alias("verdict")).unionByName(verdict)
 
 
