@@ -188,7 +188,7 @@ def places(block: np.ndarray, notice: np.ndarray, most: int) -> list[tuple[int,
 
 
 def scan(text: str | None) -> list[dict]:
-    """Confirmed notices of a text, in order: start and end of their lines, license, reduction and differences (words changed, in order)."""
+    """Confirmed notices of a text, in order: start and end of their lines, their own start and end, license, reduction and differences (words changed, in order)."""
     text, found = text or "", []
     for start, end in blocks(text):
         spans = [(m[0].lower(), start + m.start(), start + m.end()) for m in _WORD.finditer(text[start:end])]
@@ -214,19 +214,19 @@ def scan(text: str | None) -> list[dict]:
             a, b = spans[s][1], spans[e - 1][2]
             size = next(r for r, k in reductions(text[a:b]) if k == name)
             stop = text.find("\n", b)
-            found.append({"start": text.rfind("\n", 0, a) + 1, "end": len(text) if stop < 0 else stop, "license": name, "reduction": round(size, 4), "n_changed": len(changes), "changes": " ".join(changes)})
+            found.append({"start": text.rfind("\n", 0, a) + 1, "end": len(text) if stop < 0 else stop, "notice_start": a, "notice_end": b, "license": name, "reduction": round(size, 4), "n_changed": len(changes), "changes": " ".join(changes)})
     return found
 
 
 def find_licenses(docs: DataFrame) -> DataFrame:
-    """doc_id, start, end, license, reduction, n_changed and changes: a row for each confirmed notice of ``docs`` (doc_id, text).
+    """doc_id, start, end, notice_start, notice_end, license, reduction, n_changed and changes: a row for each confirmed notice of ``docs`` (doc_id, text).
 
     Null and empty texts hold none. Rows are scanned one by one, so repeated rows give repeated results; other columns
     are ignored.
     """
     scratch.prepare(docs)
-    names = ["start", "end", "license", "reduction", "n_changed", "changes"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.string()]
+    names = ["start", "end", "notice_start", "notice_end", "license", "reduction", "n_changed", "changes"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,4 +237,4 @@ def find_licenses(docs: DataFrame) -> DataFrame:
                     rows.append(r)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), *(pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True))], names=["doc_id", *names])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scratch.tidy(run), "doc_id long, start long, end long, license string, reduction double, n_changed long, changes string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scratch.tidy(run), "doc_id long, start long, end long, notice_start long, notice_end long, license string, reduction double, n_changed long, changes string")
