@@ -89,8 +89,9 @@ def plain_verdicts(pages, rules, support, confidence):
         host, path, _ = plain_tokens(url)
         fits = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
         judged.append((i, url, host, path, *(max(fits)[1:] if fits else (None, None))))
-    # what the deciding rule names is no evidence
-    rows = [([t for t in plain_tokens(u)[2] if t not in plain_tokens("://" + r)[2]], v) for _, u, _, _, r, v in judged if r]
+    # what the given rules name is no evidence
+    named = {t for _, h, p in rules for t in plain_tokens(f"://{h}{p}")[2]}
+    rows = [([t for t in plain_tokens(u)[2] if t not in named], v) for _, u, _, _, r, v in judged if r]
     both, alone = Counter(), Counter()
     for toks, v in rows:
         for k in (1, 2, 3):

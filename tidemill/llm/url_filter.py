@@ -1,9 +1,8 @@
 """URL filtering: given rules first, mined association rules for the rest. DataFrame functions only.
 
 FP-growth mines combinations of URL tokens and labels; rules from tokens to a label are pruned by confidence, support
-and redundancy. Pages that a given rule decides are the labels. The tokens that the deciding rule itself names are left
-out of such a page's evidence: otherwise mining would only hand the given rules' own words back, wider than they were
-meant. An inverted index holds each mined rule under its rarest token and finds the rules whose tokens a URL all has.
+and redundancy. Pages that a given rule decides are the labels. The tokens that any given rule names are no evidence, for
+either label: otherwise mining would hand the given rules' own words back, wider than they were meant. An inverted index holds each mined rule under its rarest token and finds the rules whose tokens a URL all has.
 """
 
 from __future__ import annotations
@@ -44,11 +43,11 @@ def query_of(url: Column) -> Column:
 
 
 def longest_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
-    """Struct (rule, verdict, own) of the longest of ``rules`` (verdict, host, path) that fits, ``own`` being the tokens that it names; null if none does."""
-    best = F.lit(None).cast("struct<rule:string,verdict:string,own:array<string>>")
+    """Struct (rule, verdict) of the longest of ``rules`` (verdict, host, path) that fits; null if none does."""
+    best = F.lit(None).cast("struct<rule:string,verdict:string>")
     for verdict, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
-        best = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"), tokens(F.lit(f"://{h}{p}")).alias("own"))).otherwise(best)
+        best = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(best)
     return best
 
 
@@ -65,6 +64,11 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(*kinds))
 
 
+def named_tokens(rules: list[tuple[str, str, str]]) -> Column:
+    """The tokens that the given rules name, each once."""
+    return F.array_distinct(F.concat(F.array().cast("array<string>"), *(tokens(F.lit(f"://{h}{p}")) for _, h, p in rules)))
+
+
 def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """(rule_id, tokens, label, confidence, support, rarest) from ``labelled`` (url, label and, if given, own: tokens that are no evidence).
 
@@ -117,7 +121,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], **mining: f
     url = F.col("url")
     base = pages.select("page_id", F.col("url").cast("string").alias("url")).withColumns({"host": host_of(url), "path": path_of(url)})
     judged = base.withColumn("given", longest_rule(F.col("host"), F.col("path"), rules))
-    mined = mine_rules(judged.where("given IS NOT NULL").select("url", F.col("given.verdict").alias("label"), F.col("given.own").alias("own")), **mining)
+    mined = mine_rules(judged.where("given IS NOT NULL").select("url", F.col("given.verdict").alias("label"), named_tokens(rules).alias("own")), **mining)
     found = scratch.materialize(match_rules(judged.where("given IS NULL"), mined), "verdicts")
     open_, done = judged.where("given IS NULL"), judged.where("given IS NOT NULL")
     verdict = open_.join(found.hint("merge"), "url", "left").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.coalesce("label", F.lit(DEFAULT)).alias("verdict"))
@@ -133,7 +137,7 @@ def held_out_precision(pages: DataFrame, rules: list[tuple[str, str, str]], fold
     url = F.col("url")
     base = pages.select(F.col("url").cast("string").alias("url")).withColumn("host", host_of(url)).withColumn("given", longest_rule(F.col("host"), path_of(url), rules)).where("given IS NOT NULL")
     held = F.pmod(F.xxhash64("host"), F.lit(folds)) == 0
-    mined = mine_rules(base.where(~held).select("url", F.col("given.verdict").alias("label"), F.col("given.own").alias("own")), **mining)
+    mined = mine_rules(base.where(~held).select("url", F.col("given.verdict").alias("label"), named_tokens(rules).alias("own")), **mining)
     asked = base.where(held).select("url", F.col("given.verdict").alias("label"))
     found = match_rules(asked, mined).select("url", F.col("label").alias("said"))
     return asked.join(found, "url", "left").groupBy("label").agg(F.count("said").alias("judged"), F.count(F.when(F.col("said") == F.col("label"), 1)).alias("right"), F.count("*").alias("pages"))
