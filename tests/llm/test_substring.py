@@ -48,3 +48,22 @@ def test_rows_equal_brute_force(spark, monkeypatch):
         got = sorted((tuple(r) for r in substring_dedup.remove_repeats(df, window, anchor).collect()), key=str)
         assert got == plain(rows, window)
     assert substring_dedup.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_paths_compact_up_to_a_branch(spark):
+    src = lambda start, n: (1, 5, start << 20 | n)
+    path = "low long, content long, head long, tail long, src struct<doc_id: long, check: long, place: long>"
+    line = [(1, 1, 10, 20, src(0, 4)), (2, 1, 20, 30, src(4, 3)), (3, 1, 30, 40, src(7, 2)), (4, 1, 60, 70, src(20, 2))]
+    units = lambda rows: sorted((r.low, r.unit, r.off) for r in substring_dedup.compacted(spark.createDataFrame(rows, path)).where("source = 1").collect())
+    assert units(line) == [(1, 0, 0), (2, 0, 4), (3, 0, 7), (4, 20, 0)]
+    # Another text goes on differently after the second path: its end is a branching node.
+    assert units([*line, (3, 2, 30, 50, (9, 5, 0))]) == [(1, 0, 0), (2, 0, 4), (3, 7, 0), (4, 20, 0)]
+
+
+def test_spans_are_verified_by_words(spark):
+    rows = [(1, "a b c d e"), (2, "x a b c d e"), (3, "a b c X e")]
+    packed = substring_dedup._packed(spark.createDataFrame(rows, "doc_id long, text string"))
+    check = {r.doc_id: r.check for r in packed.collect()}
+    hits = [(2, check[2], 1, check[1], 0, 0, 1, 3), (3, check[3], 1, check[1], 0, 0, 0, 1), (3, check[3], 1, check[1], 0, 1, 1, 2), (2, check[2], 1, check[1], 0, 1, 2, 2)]
+    hits = spark.createDataFrame(hits, "doc_id long, check long, source long, source_check long, unit long, off long, at long, n long")
+    assert [(r.doc_id, r.at, r.n) for r in substring_dedup.differing(packed, hits, 3).collect()] == [(3, 1, 2)]

@@ -1,13 +1,17 @@
 """Repeated spans of tokens, by compaction of a De Bruijn graph.
 
-Every ``window`` consecutive words of a document are an edge of a De Bruijn graph (its nodes are the runs one word
-shorter). Neighbouring edges of a document that share their minimizer, the smallest hash among the ``anchor``-word
-runs within the window, form a nonbranching path and are kept as one row: equal edges have equal minimizers, so equal
-stretches of text give equal paths. Spark joins then compact the graph: paths whose minimizer occurs in one document
-only cannot repeat and drop out; equal paths of several documents become one, known by its content and its smallest
-doc_id. Where different paths share a minimizer (at the ends of repeated spans, around edits) the source coordinates
-of one occurrence of each lead back to its words, and the edges are compared one by one. Nothing is paired: every step
-is a count or a minimum by key and a join of written tables.
+Every ``window`` consecutive words of a document are an edge of a De Bruijn graph; its nodes are the runs one word
+shorter. Neighbouring edges of a document that share their minimizer, the smallest hash among the ``anchor``-word runs
+within the window, are found together and kept as one path from its first node to its last: equal edges have equal
+minimizers, so equal stretches of text give equal paths. Paths whose minimizer occurs in one document only cannot
+repeat and drop out. Where different paths share a minimizer (at the ends of repeated spans, around edits) the source
+coordinates of one occurrence of each lead back to its words, and the edges are looked at one by one.
+
+The distinct paths left are the graph: joins count the paths into and out of each node, and paths that meet at a node
+with one of each, and follow each other in their source, compact into a unit. Repeats of one unit's neighbouring paths
+in another document make one long span, and the words at its coordinates are compared with those at the source's: a
+span whose words differ is no repeat. Nothing is paired: every step is a count, a minimum or a run by key, and a join
+of written tables.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemill.llm import scratch
 from tidemill.llm.hashing import BYTE_TABLE, WORD_BASE, range_hashes
@@ -67,8 +72,8 @@ def minimizers(joined: bytes, starts: np.ndarray, ends: np.ndarray, window: int,
     return np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
 
 
-def document_paths(joined: bytes, window: int = WINDOW, anchor: int = ANCHOR) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(minimizer, content, start, windows) arrays of a document's paths."""
+def document_paths(joined: bytes, window: int = WINDOW, anchor: int = ANCHOR) -> Iterator[tuple[np.ndarray, ...]]:
+    """(minimizer, content, first node, last node, start, windows) arrays of a document's paths."""
     starts, ends = word_bounds(joined)
     for at in range(0, max(len(starts) - window + 1, 0), CHUNK_WORDS):
         s, e = starts[at : at + CHUNK_WORDS + window - 1], ends[at : at + CHUNK_WORDS + window - 1]
@@ -78,7 +83,8 @@ def document_paths(joined: bytes, window: int = WINDOW, anchor: int = ANCHOR) ->
         first, last = s[new].tolist(), e[new + count + window - 2].tolist()
         digest = xxhash.xxh3_64_digest
         content = np.frombuffer(b"".join([digest(joined[a:b]) for a, b in zip(first, last, strict=True)]), ">u8")
-        yield low[new], content, new + at, count
+        nodes = window_hashes(joined, s, e, window - 1)
+        yield low[new], content, nodes[new], nodes[new + count], new + at, count
 
 
 def _paths(docs: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -88,10 +94,10 @@ def _paths(docs: DataFrame, window: int, anchor: int) -> DataFrame:
             parts, owner, check, size = [], [], [], 0
 
             def flush() -> pa.RecordBatch:
-                low, content, start, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+                low, content, head, tail, start, count = (np.concatenate(x) for x in zip(*parts, strict=True))
                 n = [len(p[0]) for p in parts]
-                columns = [low.view(np.int64), content.astype(np.uint64).view(np.int64), np.repeat(ids[owner], n).astype(np.int64), np.repeat(np.array(check, np.int64), n), start << _SHIFT | count]
-                return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["low", "content", "doc_id", "check", "place"])
+                columns = [low.view(np.int64), content.astype(np.uint64).view(np.int64), head.view(np.int64), tail.view(np.int64), np.repeat(ids[owner], n).astype(np.int64), np.repeat(np.array(check, np.int64), n), start << _SHIFT | count]
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["low", "content", "head", "tail", "doc_id", "check", "place"])
 
             for i, t in enumerate(batch.column(1)):
                 text = t.as_py()
@@ -107,7 +113,7 @@ def _paths(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 yield flush()
 
     named = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return named.mapInArrow(scratch.tidy(run), "low long, content long, doc_id long, check long, place long")
+    return named.mapInArrow(scratch.tidy(run), "low long, content long, head long, tail long, doc_id long, check long, place long")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -159,32 +165,102 @@ def _merged(run):
     return merged
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, check, spans): for each document with something to remove, its paths to remove.
+START, WINDOWS = f"shiftright(place, {_SHIFT})", f"place & {(1 << _SHIFT) - 1}"  # SQL
+UNIT = ["source", "source_check", "unit"]
+
+
+def _runs(df: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """Rows (keys, ``at``, n, off) put together where they follow or overlap each other in ``at`` and ``off`` alike."""
+    series = Window.partitionBy(*keys, "delta").orderBy(at)
+    ends = F.max(F.col(at) + F.col("n")).over(series.rowsBetween(Window.unboundedPreceding, -1))
+    cut = df.withColumn("delta", F.col(at) - F.col("off")).withColumn("new", F.coalesce((F.col(at) > ends).cast("int"), F.lit(1)))
+    run = cut.withColumn("run", F.sum("new").over(series.rowsBetween(Window.unboundedPreceding, 0)))
+    return run.groupBy(*keys, "delta", "run").agg(F.min(at).alias(at), F.max(F.col(at) + F.col("n")).alias("end"), F.min("off").alias("off")).select(*keys, at, (F.col("end") - F.col(at)).alias("n"), "off")
+
 
-    A span is (place, nth): all windows of the path at ``place`` where nth is null, else those numbered in it.
+def compacted(known: DataFrame) -> DataFrame:
+    """(low, content, source, source_check, unit, off): the unit each distinct path belongs to, as the place in its source where the unit starts, and the path's own place in the unit.
+
+    ``known`` holds each distinct path once: low, content, head, tail and ``src``, its first occurrence.
     """
+    sides = known.select(F.col("head").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionAll(known.select("tail", F.lit(0), F.lit(1)))
+    plain = sides.groupBy("node").agg(F.sum("out").alias("out"), F.sum("in").alias("in")).where("out = 1 AND `in` = 1").select(F.col("node").alias("head"), F.lit(True).alias("plain"))
+    at = known.select("low", "content", "head", F.col("src.doc_id").alias("source"), F.col("src.check").alias("source_check"), F.col("src.place").alias("place")).join(plain, "head", "left")
+    series = Window.partitionBy("source", "source_check").orderBy("start")
+    at = at.select("low", "content", "source", "source_check", "plain", F.expr(START).alias("start"), F.expr(WINDOWS).alias("n"))
+    follows = F.col("plain") & (F.lag(F.col("start") + F.col("n")).over(series) == F.col("start"))
+    begun = at.withColumn("begin", F.when(~F.coalesce(follows, F.lit(False)), F.col("start")))
+    unit = F.max("begin").over(series.rowsBetween(Window.unboundedPreceding, 0))
+    return begun.withColumn("unit", unit).select("low", "content", *UNIT, (F.col("start") - F.col("unit")).alias("off"))
+
+
+def _said(asked: DataFrame, window: int) -> DataFrame:
+    """The words of spans: asked (words, doc_id, check, spans array<struct<UNIT, off, at, n, own>>)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for raw, doc, check, spans in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                joined = unpack(raw.as_py())
+                starts, ends = word_bounds(joined)
+                listed = pa.RecordBatch.from_struct_array(spans.values)
+                at, n = listed.column("at").to_numpy(), listed.column("n").to_numpy()
+                said = [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at + n + window - 2].tolist(), strict=True)]
+                fixed = [pa.array(np.full(len(at), x, np.int64)) for x in (doc, check)]
+                yield pa.RecordBatch.from_arrays([*fixed, *listed.columns, pa.array(said, pa.large_binary()).cast(pa.binary())], names=["doc_id", "check", *listed.schema.names, "said"])
+
+    kind = "doc_id long, check long, source long, source_check long, unit long, off long, at long, n long, own boolean, said binary"
+    return asked.select("words", "doc_id", "check", "spans").mapInArrow(scratch.tidy(_merged(run)), kind)
+
+
+def differing(packed: DataFrame, hits: DataFrame, window: int) -> DataFrame:
+    """(doc_id, check, at, n) of the hits whose words are not those at their source's coordinates."""
+    own = hits.groupBy(*UNIT).agg(F.max(F.col("off") + F.col("n")).alias("n"))
+    own = own.select(F.col("source").alias("doc_id"), F.col("source_check").alias("check"), *UNIT, F.lit(0).cast("long").alias("off"), F.col("unit").alias("at"), "n", F.lit(True).alias("own"))
+    asked = hits.select("doc_id", "check", *UNIT, "off", "at", "n", F.lit(False).alias("own")).unionAll(own)
+    asked = asked.groupBy("doc_id", "check").agg(F.collect_list(F.struct(*UNIT, "off", "at", "n", "own")).alias("spans"))
+    said = scratch.materialize(_said(packed.join(asked, ["doc_id", "check"]), window), "said", "lz4")
+    source = said.where("own").select(*UNIT, F.col("n").alias("all"), F.col("said").alias("true"))
+    both = said.where("NOT own").join(source, UNIT)
+    part = F.slice(F.split(F.col("true").cast("string"), " "), (F.col("off") + 1).cast("int"), (F.col("n") + window - 1).cast("int"))
+    same = F.when((F.col("off") == 0) & (F.col("n") == F.col("all")), F.col("said") == F.col("true")).otherwise(F.col("said").cast("string") == F.array_join(part, " "))
+    return both.where(~same).select("doc_id", "check", "at", "n").distinct()
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """(doc_id, check, spans): for each document with something to remove, the runs of windows (at, n) to remove."""
     path = ["low", "content"]
     paths = scratch.materialize(_paths(docs, window, anchor), "paths", "lz4")
     shared = paths.groupBy("low").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("low")
     shared = scratch.materialize(shared, "shared")
     kept = scratch.materialize(paths.join(shared, "low"), "repeated", "lz4")
-    known = scratch.materialize(kept.groupBy(*path).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "distinct", "lz4")
-    branching = scratch.materialize(known.groupBy("low").agg(F.count("*").alias("k")).where("k > 1").select("low"), "branching")
+    scratch.discard(paths, shared)
+    known = kept.groupBy(*path).agg(F.min(F.struct("doc_id", "check", "place")).alias("src"), F.max("doc_id").alias("most"), F.min("head").alias("head"), F.min("tail").alias("tail"))
+    known = scratch.materialize(known, "distinct", "lz4")
+    units = scratch.materialize(compacted(known), "units", "lz4")
+    several = scratch.materialize(known.groupBy("low").agg(F.count("*").alias("k")).where("k > 1").select("low"), "several")
     # One occurrence of each path that shares its minimizer with another leads back to its words.
-    source = scratch.materialize(known.join(branching, "low").select(*path, F.col("least").alias("doc_id")), "sources")
-    coordinates = kept.join(source, [*path, "doc_id"]).groupBy(*path, "doc_id").agg(F.min(F.struct("check", "place")).alias("at"))
-    wanted = coordinates.groupBy("doc_id", F.col("at.check").alias("check")).agg(F.collect_list(F.struct(*path, F.col("at.place").alias("place"))).alias("paths"))
+    wanted = known.join(several, "low").groupBy("src.doc_id", "src.check").agg(F.collect_list(F.struct(*path, F.col("src.place").alias("place"))).alias("paths"))
     packed = _packed(docs)
     edges = scratch.materialize(_edges(packed.join(wanted, ["doc_id", "check"]), window), "edges", "lz4")
-    first = scratch.materialize(edges.groupBy("low", "edge").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("low", "edge", "first"), "first")
-    seen = edges.join(first, ["low", "edge"]).where("first < doc_id").groupBy(*path).agg(F.collect_set("nth").alias("nth"))
-    seen = scratch.materialize(seen, "seen")
-    info = known.join(seen, path, "left").where("least < most OR nth IS NOT NULL").select(*path, "least", "nth")
-    info = scratch.materialize(info, "info")
-    hit = kept.join(info, path).where("doc_id > least OR nth IS NOT NULL")
-    nth = F.when(F.col("doc_id") == F.col("least"), F.col("nth"))
-    return hit.groupBy("doc_id", "check").agg(F.collect_list(F.struct("place", nth.alias("nth"))).alias("spans"))
+    first = edges.groupBy("low", "edge").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    first = scratch.materialize(first.select("low", "edge", "first"), "first")
+    told = edges.join(first, ["low", "edge"])
+    place = told.where("first = doc_id").groupBy("low", "edge").agg(F.min("content").alias("told"), F.min_by("nth", "content").alias("told_nth"))
+    place = scratch.materialize(place, "told")
+    seen = told.where("first < doc_id").join(place, ["low", "edge"]).select(*path, "nth", "told", "told_nth")
+    source = units.select("low", F.col("content").alias("told"), *UNIT, "off")
+    seen = seen.join(source, ["low", "told"]).select(*path, F.col("nth").cast("long").alias("rel"), F.lit(1).cast("long").alias("n"), *UNIT, (F.col("off") + F.col("told_nth")).alias("off"))
+    some = known.select(*path, F.col("src.doc_id").alias("least")).join(_runs(seen, [*path, *UNIT], "rel"), path).select(*path, "least", F.lit(True).alias("part"), "rel", "n", *UNIT, "off")
+    whole = known.where("src.doc_id < most").join(units, path).select(*path, F.col("src.doc_id").alias("least"), F.lit(False).alias("part"), F.lit(0).cast("long").alias("rel"), F.lit(None).cast("long").alias("n"), *UNIT, "off")
+    targets = scratch.materialize(whole.unionAll(some), "targets", "lz4")
+    found = kept.join(targets, path).where("IF(part, doc_id = least, doc_id > least)")
+    found = found.select("doc_id", "check", (F.expr(START) + F.col("rel")).alias("at"), F.coalesce("n", F.expr(WINDOWS)).alias("n"), *UNIT, "off")
+    hits = scratch.materialize(_runs(found, ["doc_id", "check", *UNIT], "at"), "hits", "lz4")
+    scratch.discard(kept, known, units, several, edges, first, place, targets)
+    wrong = scratch.materialize(differing(packed, hits, window), "differing")
+    right = hits.join(wrong, ["doc_id", "check", "at", "n"], "left_anti")
+    return right.groupBy("doc_id", "check").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, with_text: bool = False) -> DataFrame:
@@ -207,14 +283,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                     n = joined.count(b" ") + 1 if joined else 0
                     edge = np.zeros(n + 1, np.int64)
                     for s in found.as_py() or ():
-                        start, k = s["place"] >> _SHIFT, s["place"] & (1 << _SHIFT) - 1
-                        if s["nth"] is None:
-                            edge[start] += 1
-                            edge[start + k + window - 1] -= 1
-                        else:
-                            w = start + np.array(s["nth"], np.int64)
-                            np.add.at(edge, w, 1)
-                            np.add.at(edge, w + window, -1)
+                        edge[s["at"]] += 1
+                        edge[s["at"] + s["n"] + window - 1] -= 1
                     keep = np.cumsum(edge)[:n] == 0
                     if not keep.all():
                         joined = b" ".join(compress(joined.split(b" "), keep.tolist()))
