@@ -243,12 +243,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     wanted = known.join(several, "low").groupBy("src.doc_id", "src.check").agg(F.collect_list(F.struct(*path, F.col("src.place").alias("place"))).alias("paths"))
     packed = _packed(docs)
     edges = scratch.materialize(_edges(packed.join(wanted, ["doc_id", "check"]), window), "edges", "lz4")
-    first = edges.groupBy("low", "edge").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    first = scratch.materialize(first.select("low", "edge", "first"), "first")
-    told = edges.join(first, ["low", "edge"])
-    place = told.where("first = doc_id").groupBy("low", "edge").agg(F.min("content").alias("told"), F.min_by("nth", "content").alias("told_nth"))
-    place = scratch.materialize(place, "told")
-    seen = told.where("first < doc_id").join(place, ["low", "edge"]).select(*path, "nth", "told", "told_nth")
+    first = edges.groupBy("low", "edge").agg(F.min(F.struct("doc_id", "content", "nth")).alias("told"), F.max("doc_id").alias("last")).where("told.doc_id < last")
+    first = scratch.materialize(first.select("low", "edge", F.col("told.doc_id").alias("first"), F.col("told.content").alias("told"), F.col("told.nth").alias("told_nth")), "first")
+    seen = edges.join(first, ["low", "edge"]).where("first < doc_id").select(*path, "nth", "told", "told_nth")
     source = units.select("low", F.col("content").alias("told"), *UNIT, "off")
     seen = seen.join(source, ["low", "told"]).select(*path, F.col("nth").cast("long").alias("rel"), F.lit(1).cast("long").alias("n"), *UNIT, (F.col("off") + F.col("told_nth")).alias("off"))
     some = known.select(*path, F.col("src.doc_id").alias("least")).join(_runs(seen, [*path, *UNIT], "rel"), path).select(*path, "least", F.lit(True).alias("part"), "rel", "n", *UNIT, "off")
@@ -257,7 +254,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     found = kept.join(targets, path).where("IF(part, doc_id = least, doc_id > least)")
     found = found.select("doc_id", "check", (F.expr(START) + F.col("rel")).alias("at"), F.coalesce("n", F.expr(WINDOWS)).alias("n"), *UNIT, "off")
     hits = scratch.materialize(_runs(found, ["doc_id", "check", *UNIT], "at"), "hits", "lz4")
-    scratch.discard(kept, known, units, several, edges, first, place, targets)
+    scratch.discard(kept, known, units, several, edges, first, targets)
     wrong = scratch.materialize(differing(packed, hits, window), "differing")
     right = hits.join(wrong, ["doc_id", "check", "at", "n"], "left_anti")
     return right.groupBy("doc_id", "check").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
