@@ -5,7 +5,8 @@ credential would (after ``pwd:``, ``Authorization: Bearer``, ``login =`` and the
 would need: dynamic programming finds the cheapest way to write it as words, separators, dates, digits, repeats,
 keyboard walks and brute-force spans, in log10 guesses, and values over a threshold are reported as ``guess``. Words are
 ranked by a tokenizer's vocabulary, which was learned by frequency. Where only white space stands between name and value
-the threshold is higher and words are cheaper, for that is how running text looks; addresses are no secrets.
+the threshold is higher and words are cheaper, for that is how running text looks; addresses are no secrets. Values of any
+length are priced whole, also those that stand within others or within addresses.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,7 +35,7 @@ KINDS = ("assign", "access", "hex", "guess")
 #: A credential's name; what may stand between, and where the value begins, is looked ahead at, so that contexts may overlap.
 CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|authorization|bearer|(?:api|access|private|secret)[ _-]?key|login)(?=["']?(?:\x20*(?:=>|->|[:=])\x20*(?:bearer\x20+)?|\x20+is\x20+|\x20+)["']?([^\s"'<>,;]{8}))""", re.IGNORECASE | re.ASCII)
 VALUE_END = re.compile(r"""[\s"'<>,;]|\Z""")
-WINDOW = 256  # longer values are priced window by window
+REMEMBERED = 256  # characters; the costs of values up to that are remembered from text to text
 _ASSIGN_NAMES = ("passw", "secret", "token", "api")
 _CONTEXT_NAMES = ("pass", "pwd", "secret", "token", "credential", "authorization", "bearer", "key", "login")
 #: A name, and nothing but white space (or ``is``) up to the value: running text as a rule.
@@ -53,6 +55,13 @@ ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrs
 LEET = str.maketrans("4301$57@", "aeoissta")
 DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d")
 LEAST_WORD, LONGEST_WORD = 4, 20  # letters of a word taken from the vocabulary
+LONGEST_PERIOD = 16  # characters that are repeated
+# From a repeated run to a place within it, then on by another span: past NEAR_START characters more of the run costs less
+# than any such span (log10(1 + 20 / 8) < NEW_SPAN + log10(2), the commonest word), and farther than NEAR_END from the
+# run's end none leads out: words, rows and dates are shorter, two runs that share 32 characters have a common period.
+NEAR_START, NEAR_END = 8, 2 * LONGEST_PERIOD
+STRIDE = 27  # longer than any span but repeats and, in prose, runs of letters
+LETTERS = re.compile(rf"[^\W\d_]{{{STRIDE}}}")
 
 
 @lru_cache(maxsize=1)
@@ -73,71 +82,115 @@ def _ranks() -> dict[str, int]:
     return ranks
 
 
+CHARSETS = (("[a-z]", 26), ("[A-Z]", 26), ("[0-9]", 10), ("[^A-Za-z0-9]", 33))
+
+
 def _charset(value: str) -> int:
-    return 26 * bool(re.search("[a-z]", value)) + 26 * bool(re.search("[A-Z]", value)) + 10 * bool(re.search("[0-9]", value)) + 33 * bool(re.search("[^A-Za-z0-9]", value)) or 1
+    return sum(size for chars, size in CHARSETS if re.search(chars, value)) or 1
 
 
-def priced_spans(value: str, prose: bool = False) -> Iterator[tuple[int, int, float]]:
-    """(start, end, log10 guesses) of the spans of ``value`` that are cheaper to write than character by character.
+def _spans_by_start(value: str, each: float, prose: bool) -> Iterator[tuple[int, list[tuple[int, float]], bool]]:
+    """From the last character to the first: start, (end, log10 guesses) of the spans that are cheaper to write than
+    character by character, and whether spans from further ahead may reach over the next STRIDE characters.
 
     In ``prose`` (the value follows a credential's name in running text) listed words are as good as expected, and a run
-    of letters in one case is a word of some large dictionary.
+    of letters in one case is a word of some large dictionary. Of a long run of repeats only those ends are given that
+    the cheapest way can use: what lies between costs less as more of the run (see NEAR_START, NEAR_END).
     """
     n = len(value)
-    each = math.log10(_charset(value))
     ranks = _ranks()
-    lower = value.lower()
+    lower = value.replace("\u0130", "i").lower()  # the only letter that grows in lower case
     plain = lower.translate(LEET)
-    for i in range(n):
+    same = [0] * (LONGEST_PERIOD + 1)  # by period: characters from here on that come again that much later
+    for i in range(n - 1, -1, -1):
+        spans = []
         for j in range(i + 2, min(n, i + LONGEST_WORD) + 1):
             if rank := ranks.get(plain[i:j]):
                 cost = math.log10(rank + 1)
                 changed = (0.6 if value[i:j] != lower[i:j] else 0) + (0.6 if plain[i:j] != lower[i:j] else 0)
-                yield i, j, (min(cost, EXPECTED_WORD) if prose and not changed else cost) + changed
+                spans.append((j, (min(cost, EXPECTED_WORD) if prose and not changed else cost) + changed))
         for row in ROWS:
             for way in (row, row[::-1]):
                 at, j = way.find(lower[i]), i + 1
                 if at >= 0:
                     while j < n and at + j - i < len(way) and lower[j] == way[at + j - i]:
                         j += 1
-                    for k in range(i + 3, j + 1):
-                        yield i, k, 1.7 + math.log10(k - i)
-        for period in range(1, min(16, (n - i) // 2) + 1):
-            j = i + period
-            while j < n and value[j] == value[j - period]:
-                j += 1
-            for k in range(i + max(2 * period, 3), j + 1):
-                yield i, k, period * each + math.log10(k - i)
-    for m in re.finditer(f"(?={DATE.pattern})", value):
-        j = DATE.match(value, m.start()).end()
-        yield m.start(), j, math.log10(120) if j - m.start() == 4 else math.log10(120 * 366)
-    if prose:
-        for m in ONE_CASE.finditer(value):
-            yield m.start(), m.end(), UNLISTED_WORD
+                    spans += [(k, 1.7 + math.log10(k - i)) for k in range(i + 3, j + 1)]
+        repeated: list[int] = []
+        far = prose and LETTERS.match(value, i) is not None
+        for period in range(1, min(LONGEST_PERIOD, n - 1 - i) + 1):
+            same[period] = same[period] + 1 if value[i] == value[i + period] else 0
+            j = i + period + same[period]
+            far = far or j - i >= STRIDE
+            # A multiple of a shorter period reaches as far, for more.
+            if same[period] < period or any(period % p == 0 and p + same[p] >= 2 * period for p in repeated):
+                continue
+            repeated.append(period)
+            first, near = i + max(2 * period, 3), i + NEAR_START
+            spans += [(k, period * each + math.log10(k - i)) for k in (*range(first, min(near, j) + 1), *range(max(first, near + 1, j - NEAR_END), j + 1))]
+        if m := DATE.match(value, i):
+            spans.append((m.end(), math.log10(120) if m.end() - i == 4 else math.log10(120 * 366)))
+        if prose and (m := ONE_CASE.match(value, i)):
+            spans.append((m.end(), UNLISTED_WORD))
+        yield i, spans, far
+
+
+def rest_costs(value: str, charset: int, prose: bool = False, enough: float = math.inf) -> array[float]:
+    """By position: log10 of the guesses that the cheapest segmentation of the rest of ``value`` needs.
+
+    Infinity stands for costs that were not worked out since they are sure to be ``enough`` or more: every way from
+    further ahead comes by one of STRIDE positions in a row that cost as much.
+    """
+    n = len(value)
+    letter = math.log10(charset)
+    each = array("d", (SEPARATOR if c in SEPARATORS else letter for c in value))
+    for m in re.finditer(r"[0-9]{3,}", value):
+        each[m.start() : m.end()] = array("d", [1.0]) * (m.end() - m.start())
+    best = array("d", [math.inf]) * n
+    best.append(0.0)
+    in_a_row = 0
+    for i, spans, far in _spans_by_start(value, letter, prose):
+        cheapest = each[i] + best[i + 1]
+        for j, cost in spans:
+            cheapest = min(cheapest, cost + NEW_SPAN + best[j])
+        best[i] = cheapest
+        in_a_row = in_a_row + 1 if cheapest >= enough else 0
+        if in_a_row >= STRIDE and not far:
+            break
+    return best
 
 
 @lru_cache(maxsize=65_536)
 def guess_cost(value: str, prose: bool = False) -> float:
     """log10 of the guesses that the cheapest segmentation of ``value`` needs."""
-    n = len(value)
-    each = [SEPARATOR if c in SEPARATORS else math.log10(_charset(value)) for c in value]
-    for m in re.finditer(r"[0-9]{3,}", value):
-        each[m.start() : m.end()] = [1.0] * (m.end() - m.start())
-    ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]  # by end: (start, cost)
-    for i, j, cost in priced_spans(value, prose):
-        ends[j].append((i, cost))
-    best = [0.0] * (n + 1)
-    for j in range(1, n + 1):
-        best[j] = best[j - 1] + each[j - 1]
-        for i, cost in ends[j]:
-            best[j] = min(best[j], best[i] + cost + NEW_SPAN)
-    return best[n]
+    return rest_costs(value, _charset(value), prose)[0]
+
 
+class _Values:
+    """The values that end at one place of a text, asked for from the longest to the shortest.
+
+    Long ones are priced together, whole: one pass from the end gives the cost of every value that has the same kinds of
+    characters, so many values in one cost no more than a few passes.
+    """
 
-def costly(value: str, threshold: float, prose: bool = False, first_only: bool = False) -> bool:
-    """Whether ``value``, or some window of a long one, costs the threshold or more; in prose PROSE_MORE more."""
-    last = 1 if first_only else max(1, len(value) - WINDOW // 2)
-    return any(guess_cost(value[k : k + WINDOW], prose) >= threshold + PROSE_MORE * prose for k in range(0, last, WINDOW // 2))
+    def __init__(self, text: str, start: int, end: int) -> None:
+        self.text, self.end = text, end
+        self.last: list[tuple[int, int]] = []  # last place of each kind of characters, and their number
+        self.passes: dict[tuple[bool, int], tuple[int, array[float]]] = {}
+        if end - start > REMEMBERED:
+            back = text[start:end][::-1]
+            self.last = [(end - 1 - m.start(), size) for chars, size in CHARSETS if (m := re.search(chars, back))]
+
+    def costly(self, start: int, threshold: float, prose: bool) -> bool:
+        """Whether the whole value from ``start`` costs the threshold or more; in prose PROSE_MORE more."""
+        enough = threshold + PROSE_MORE * prose
+        if self.end - start <= REMEMBERED:
+            return guess_cost(self.text[start : self.end], prose) >= enough
+        key = prose, sum(size for at, size in self.last if at >= start)
+        if key not in self.passes:
+            self.passes[key] = start, rest_costs(self.text[start : self.end], key[1], prose, enough)
+        first, costs = self.passes[key]
+        return costs[start - first] >= enough
 
 
 def _guesses(text: str, base: list[tuple[int, int]], threshold: float) -> Iterator[tuple[int, int]]:
@@ -154,21 +207,18 @@ def _guesses(text: str, base: list[tuple[int, int]], threshold: float) -> Iterat
         a = m.start(1)
         if a <= seen or a < given:
             continue
-        nested = a < stop  # the end of a value that has been priced
-        if not nested:
-            stop = VALUE_END.search(text, a).start()
-        b = stop
-        while b > a and text[b - 1] in ".:!?)":
-            b -= 1
+        if a >= stop:  # else it ends with a value that was looked at before
+            b = stop = VALUE_END.search(text, a).start()
+            while b > a and text[b - 1] in ".:!?)":
+                b -= 1
+            values = _Values(text, a, b)
         seen = a
         at = bisect_right(starts, a) - 1
         if b - a < 8 or (at >= 0 and b <= merged[at][1]):
             continue
-        # All windows of a long value have been priced with the value that it ends.
         if ADDRESS.match(text, a, b):
             continue
-        prose = PROSE.fullmatch(text, m.end(), a) is not None
-        if costly(text[a:b] if not nested else text[a : min(b, a + WINDOW)], threshold, prose, nested):
+        if values.costly(a, threshold, PROSE.fullmatch(text, m.end(), a) is not None):
             given = b
             yield a, b
 
