@@ -1,3 +1,4 @@
+import os
 import zlib
 
 import numpy as np
@@ -6,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tidemill.llm import bpe, packing, token_output
+from tidemill.llm import bpe, packing, scratch, token_output
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 LIB = Tokenizer.from_file(VOCAB)
@@ -195,3 +196,22 @@ def test_token_files_round_trip(spark, tmp_path):
         at += len(whole)
     token_output.write_token_files(docs.limit(0), f"file://{tmp_path}/e", VOCAB)
     assert token_output.read_token_files(spark, f"file://{tmp_path}/e").count() == 0
+
+
+def test_token_files_leave_no_intermediate_ids_and_move_no_payload(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i} " * (i % 9)) for i in range(200)], "doc_id long, text string").repartition(3)
+    root = scratch.shared_root(spark).removeprefix("file://") + "/tidemill"
+    there = set(os.listdir(root)) if os.path.isdir(root) else set()
+    token_output.write_token_files(docs, f"file://{tmp_path}/t", VOCAB, block_ids=50)
+    assert set(os.listdir(root)) == there
+    found = token_output.read_token_files(spark, f"file://{tmp_path}/t", with_ids=False)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    blocks = spark.read.parquet(f"file://{tmp_path}/t/blocks").orderBy("shard", "block").collect()
+    assert len(blocks) > 3 and [b["n_ids"] for b in blocks] == [int(np.frombuffer(b["counts"], "<i4").sum()) for b in blocks]
+    for a, b in zip(blocks, blocks[1:], strict=False):
+        assert b["before"] == (a["before"] + a["n_ids"] if a["shard"] == b["shard"] else 0)
+    at = 0
+    for r in sorted(found.collect(), key=lambda r: r["doc_id"]):
+        want = [*ids(f"text {r['doc_id']} " * (r["doc_id"] % 9)), 0]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(want), crc(want))
+        at += len(want)

@@ -5,6 +5,8 @@ File format: a folder with two Parquet datasets, so that any store Spark reaches
 ``codebook``: one row (symbol int, bits int) for each id that occurs. Codes are canonical: by length, then by id.
 ``blocks``: one row for each block, rows in ascending (shard, block) and so in ascending doc_id order:
     shard int, block int    place in the order
+    before long             ids in the shard's earlier blocks
+    n_ids long              ids in the block
     doc_ids binary          int64 little-endian, one for each document of the block (0 where null, see null_ids)
     null_ids binary         positions of documents whose id is null, int32
     counts binary           ids of each document, int32, the end id included
@@ -30,7 +32,7 @@ MAX_BITS = 16
 CHECKPOINT = 64
 BLOCK_IDS = 65_536
 
-BLOCKS = "shard int, block int, doc_ids binary, null_ids binary, counts binary, bits binary, payload binary"
+BLOCKS = "shard int, block int, before long, n_ids long, doc_ids binary, null_ids binary, counts binary, bits binary, payload binary"
 
 
 # --- codes --------------------------------------------------------------------------------------------------------
@@ -159,7 +161,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     """Write the ids of ``docs`` (doc_id, text) to ``path`` in ascending doc_id order, null ids first.
 
     Rows that repeat a doc_id stand next to each other, ordered by a hash of their ids, so that many of them spread over
-    shards. An empty table gives an empty file set.
+    shards. An empty table gives an empty file set. The intermediate ids are deleted once the files stand.
     """
     spark = scratch.prepare(docs)
     ids = scratch.materialize(tokenized(docs, vocabulary, end_id), "ids")
@@ -172,20 +174,20 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+        shard, number, before, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal number, held, size
+            nonlocal number, before, held, size
             all_ids = np.frombuffer(b"".join(raw for _, raw in held), "<u2")
             bits, payload = encode_block(all_ids, codes, lengths)
             names = np.array([i or 0 for i, _ in held], "<i8").tobytes()
             nulls = np.array([k for k, (i, _) in enumerate(held) if i is None], "<i4").tobytes()
             counts = np.array([len(raw) // 2 for _, raw in held], "<i4").tobytes()
-            row = {"shard": shard, "block": number, "doc_ids": names, "null_ids": nulls, "counts": counts, "bits": bits, "payload": payload}
-            number, held, size = number + 1, [], 0
+            row = {"shard": shard, "block": number, "before": before, "n_ids": size, "doc_ids": names, "null_ids": nulls, "counts": counts, "bits": bits, "payload": payload}
+            number, before, held, size = number + 1, before + size, [], 0
             return pa.RecordBatch.from_pylist([row], schema=block_schema)
 
-        block_schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), *((n, pa.binary()) for n in ("doc_ids", "null_ids", "counts", "bits", "payload"))])
+        block_schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), *((n, pa.binary()) for n in ("doc_ids", "null_ids", "counts", "bits", "payload"))])
         for batch in batches:
             for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held.append((i, raw))
@@ -198,10 +200,14 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     keyed = ids.withColumn("salt", F.xxhash64("ids"))
     ordered = keyed.repartitionByRange("doc_id", "salt").sortWithinPartitions("doc_id", "salt").select("doc_id", "ids")
     ordered.mapInArrow(scratch.tidy(run), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    scratch.discard(ids)
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
-    """Decode files: doc_id, start (ids of all documents before), n_tokens, ids_crc32 (of the ids as little-endian uint32) and, if wanted, ids (array)."""
+    """Decode files: doc_id, start (ids of all documents before), n_tokens, ids_crc32 (of the ids as little-endian uint32) and, if wanted, ids (array).
+
+    Blocks are decoded where they are read: nothing is shuffled.
+    """
     book = spark.read.parquet(f"{path}/codebook").collect()  # at most one row for each id of the vocabulary
     lengths = np.zeros(65_536, np.int64)
     for r in book:
@@ -209,17 +215,8 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
     symbol, length = decoding_table(lengths)
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
 
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = [int(np.frombuffer(c, "<i4").sum(dtype=np.int64)) for c in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["shard", "block", "n"])
-
-    from pyspark.sql import Window
-
-    by_block = blocks.select("shard", "block", "counts").mapInArrow(scratch.tidy(sizes), "shard int, block int, n long")
-    inside = by_block.select("shard", "block", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("inside"))
     # A row for each writing task reaches the driver; a task writes hundreds of blocks.
-    totals = sorted((r["shard"], r["n"]) for r in by_block.groupBy("shard").agg(F.sum("n").alias("n")).collect())
+    totals = sorted((r["shard"], r["n"]) for r in blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect())
     before, seen = {}, 0
     for shard, n in totals:
         before[shard] = seen
@@ -236,10 +233,10 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
                 ends = np.cumsum(counts)
                 wide = ids.astype("<u4").tobytes()
                 crc = [zlib.crc32(wide[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
-                start = ends - counts + before[row["shard"]] + row["inside"]
+                start = ends - counts + before[row["shard"]] + row["before"]
                 columns = {"doc_id": pa.array(names, mask=nulls), "start": pa.array(start), "n_tokens": pa.array(counts), "ids_crc32": pa.array(crc, pa.int64())}
                 if with_ids:
                     columns["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return blocks.join(inside, ["shard", "block"]).mapInArrow(scratch.tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return blocks.mapInArrow(scratch.tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
