@@ -102,14 +102,16 @@ def kernel_size(setting: TemporalSetting | None, inputs: int | None, chosen: dic
 
 
 def evaluate_safely(evaluators: dict, frames: dict[str, DataFrame]) -> dict[str, dict[str, float]]:
-    """{metric: {split: value}}; an empty frame has no value, and a metric that fails is logged and left out."""
+    """{metric: {split: value}}; an empty frame has no value. A metric that fails ends the run: a result without it would look whole."""
     filled = {s: df for s, df in frames.items() if not df.isEmpty()}
     out: dict[str, dict[str, float]] = {}
     for name, evaluator in evaluators.items():
-        try:
-            out[name] = {s: evaluator.evaluate(df) for s, df in filled.items()}
-        except Exception as e:  # noqa: BLE001
-            log.error("%s could not be evaluated: %s", name, e)
+        out[name] = {}
+        for split, df in filled.items():
+            try:
+                out[name][split] = evaluator.evaluate(df)
+            except Exception as e:
+                raise TidemillError(f"{name} of the {split} rows could not be evaluated: {e}") from e
     return out
 
 
