@@ -8,12 +8,14 @@ from the initial state.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import TypeConverters
@@ -23,7 +25,8 @@ from pyspark.sql import types as T
 
 from tidemill.errors import TidemillError
 from tidemill.functions import vectors
-from tidemill.operators.stages import DropSeriesLeft, RenameInPlace, Stage, need, need_not, param
+from tidemill.operators.stages import RenameInPlace, Stage, need, need_not, param
+from tidemill.operators.windows import piece_of, range_bounds
 from tidemill.session import ship_package
 
 FUNCTIONS = {
@@ -36,6 +39,9 @@ FUNCTIONS = {
     "SymHardLimit": lambda x: np.where(x > 0, 1.0, -1.0),
     "Gaussian": lambda x: np.exp(-x * x),
 }
+#: The functions that one line of plain Python states for every number, as the C library has them.
+PLAIN = {"Tanh": "tanh({})", "Linear": "{}", "HardLimit": "1.0 if {} > 0 else 0.0", "SymHardLimit": "1.0 if {} > 0 else -1.0"}
+PLAIN_EDGES = 256
 
 
 @dataclass(frozen=True)
@@ -83,7 +89,9 @@ class Network:
         names = spec.per_node_functions or (spec.function,) * n
         if len(names) != n or any(f not in FUNCTIONS for f in names):
             raise TidemillError("each node needs one of the functions " + ", ".join(FUNCTIONS))
+        self.names = names
         self.functions = [(FUNCTIONS[f], np.array([k for k, x in enumerate(names) if x == f])) for f in dict.fromkeys(names)]
+        self._plain: tuple | None = None
 
     @staticmethod
     def _edges(spec: ReservoirSpec, n: int, rng: np.random.Generator) -> Iterator[tuple[int, int]]:
@@ -111,23 +119,47 @@ class Network:
                 yield to, int(s)
 
     def states(self, inputs: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
-        """The state after each row, from the initial one or the one ``before``."""
-        x, out = self.initial if before is None else before, np.empty((len(inputs), len(self.initial)))
-        driven = inputs @ self.w_in.T + self.w_bias
+        """The state after each row, from the initial one or the one ``before``. Sums go over the inputs, then the nodes, then the bias."""
+        x, n = self.initial if before is None else before, len(self.initial)
+        driven = np.zeros((len(inputs), n))
+        for k in range(self.w_in.shape[1]):
+            driven = inputs[:, k : k + 1] * self.w_in[:, k] + (driven if k else 0.0)
+        if self._plain is None or self._plain[0] is not self.w or self._plain[1] is not self.w_bias:
+            self._plain = self.w, self.w_bias, self._plain_step()
+        step = self._plain[2]
+        if step is not None:
+            return np.array(step(driven.tolist(), x.tolist()), float).reshape(len(inputs), n)
+        out = np.empty((len(inputs), n))
         for t in range(len(inputs)):
-            y = driven[t] + self.w @ x
+            y = driven[t] + self.w @ x + self.w_bias
             x = np.empty_like(y)
             for f, at in self.functions:
                 x[at] = f(y[at])
             out[t] = x
         return out
 
+    def _plain_step(self) -> Callable | None:
+        """The recurrence as a function of its own, numbers written out, where the network is small: numpy's calls would cost more than its sums."""
+        edges = [[k for k in range(len(self.initial)) if row[k]] for row in self.w]
+        if not 0 < len(edges) <= PLAIN_EDGES or sum(map(len, edges)) > PLAIN_EDGES or any(f not in PLAIN for f in self.names) or not (np.isfinite(self.w).all() and np.isfinite(self.w_bias).all()):
+            return None
+        sums = [" + ".join([f"d{i}", *(f"({float(self.w[i, k])!r}) * x{k}" for k in at), *([f"({float(self.w_bias[i])!r})"] if self.w_bias[i] else [])]) for i, at in enumerate(edges)]
+        new = ", ".join(PLAIN[f].format(f"({y})") for f, y in zip(self.names, sums, strict=True))
+        d, x = (", ".join(f"{c}{i}" for i in range(len(edges))) + "," for c in "dx")
+        body = f"def step(driven, state):\n    {x} = state\n    out = []\n    put = out.extend\n    for {d} in driven:\n        {x} = {new},\n        put(({x}))\n    return out\n"
+        scope: dict = {"tanh": math.tanh}
+        exec(body, scope)  # noqa: S102
+        return scope["step"]
+
 
 class ReservoirStates(Stage):
     """The reservoir's states after each row of a series, rows of equal order sharing the state after the last of them.
 
-    A recurrence over one series is sequential: without ``groupCol`` it runs in one task by its nature, as a stream of
-    sorted rows of which one batch is in memory at a time. Rows with a null order drop.
+    Without ``groupCol`` a series is cut into pieces by its order, and each task has rows of its pieces only, sorted,
+    of which one batch is in Python at a time. The states in which the pieces start are found first: all pieces run at
+    once from the ends of those before them as known so far, until no end changes a start. A reservoir that forgets needs two
+    rounds, any other at most one for each piece; the states are those of one run through the series to the last bit.
+    Rows with a null order drop. ``washout``: rows drop whose order exceeds the smallest by no more than it.
     """
 
     inputCol = param("inputCol", "vector column that drives the network", TypeConverters.toString)
@@ -141,6 +173,7 @@ class ReservoirStates(Stage):
     inDegree = param("inDegree", "overrides the spec's", TypeConverters.toInt)
     edges = param("edges", "overrides the spec's", TypeConverters.toInt)
     inputConnectivity = param("inputConnectivity", "overrides the spec's", TypeConverters.toFloat)
+    washout = param("washout", "how far from the smallest order rows are dropped", TypeConverters.toInt)
     defaults = {"seed": 42}
 
     @staticmethod
@@ -164,6 +197,8 @@ class ReservoirStates(Stage):
         carried = [c for c in slim.columns if c != "_u"]
         place = F.struct(*[F.col(c) for c in carried])
 
+        starts: dict[int, np.ndarray] = {}  # of the pieces of one series; a group starts from the initial state
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Rows come by group and order. Only the state and the rows of the last order are kept from batch to batch."""
             net, state, last = None, None, None
@@ -177,22 +212,24 @@ class ReservoirStates(Stage):
             for batch in batches:
                 if not len(batch):
                     continue
-                keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-                u = np.array(batch.column(2).to_pylist(), float).reshape(len(batch), -1)
+                group_at, order_at, u = batch.column(0), batch.column(1), inputs_of(batch.column(2))
                 if net is None:
                     net = Network(spec, u.shape[1], seed)
-                if held and keys[0] != last:
+                begin = changes(group_at)
+                fresh = begin | changes(order_at)
+                if held and (group_at[0].as_py(), order_at[0].as_py()) != last:
                     yield placed(held, np.tile(state, (sum(map(len, held)), 1)))
                     held = []
-                parts, groups = [], [0, *(k for k in range(1, len(keys)) if keys[k][0] != keys[k - 1][0]), len(keys)]
+                parts, groups = [], [0, *np.flatnonzero(begin).tolist(), len(batch)]
                 for a, b in zip(groups, groups[1:]):
-                    if last is None or keys[a][0] != last[0]:
-                        state = net.initial
+                    g = group_at[a].as_py()
+                    if last is None or g != last[0]:
+                        state = net.initial if group else starts.get(g, net.initial)
                     parts.append(net.states(u[a:b], state))
-                    state, last = parts[-1][-1], keys[b - 1]
+                    state, last = parts[-1][-1], (g, order_at[b - 1].as_py())
                 states = np.concatenate(parts)
-                new = np.array([0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1])])
-                shared = states[np.repeat(np.append(new[1:], len(keys)) - 1, np.diff(np.append(new, len(keys))))]
+                new = np.array([0, *np.flatnonzero(fresh).tolist()])
+                shared = states[np.repeat(np.append(new[1:], len(batch)) - 1, np.diff(np.append(new, len(batch))))]
                 rows, end = batch.select(["_row"]), int(new[-1])
                 if end:
                     before = sum(map(len, held))
@@ -202,20 +239,75 @@ class ReservoirStates(Stage):
             if held:
                 yield placed(held, np.tile(state, (sum(map(len, held)), 1)))
 
-        key = F.col(group) if group else F.lit(0)
-        dealt = slim.where(F.col(order).isNotNull()).select(key.alias("_g"), F.col(order).alias("_o"), "_u", place.alias("_row"))
-        dealt = (dealt.repartition("_g") if group else dealt.repartition(1)).sortWithinPartitions("_g", "_o")
+        slim = slim.where(F.col(order).isNotNull())
+        bounds = [] if group else range_bounds(df.select(order), order)
+        key = F.col(group) if group else piece_of(order, bounds)
+        sort = lambda d: d.repartition("_g").sortWithinPartitions("_g", "_o")
+        if bounds:
+            starts |= _starts(slim.select(key.alias("_g"), F.col(order).alias("_o"), "_u"), sort, len(bounds) + 1, spec, seed)
+        dealt = sort(slim.select(key.alias("_g"), F.col(order).alias("_o"), "_u", place.alias("_row")))
         kind = T.StructType([T.StructField("_row", dealt.schema["_row"].dataType), T.StructField("_x", T.ArrayType(T.DoubleType()))])
         out = dealt.mapInArrow(run, kind)
+        if self.value("washout") is not None:
+            least = df.agg(F.min(order).alias("_least"))  # one row, found without the states
+            out = out.join(F.broadcast(least), F.col("_row")[order] > F.col("_least") + self.value("washout"))
         return out.select(*[F.col("_row")[c].alias(c, metadata=slim.schema[c].metadata) for c in carried], array_to_vector("_x").alias(target))
 
 
+def inputs_of(column: pa.Array) -> np.ndarray:
+    """Rows by inputs from lists of one length; a null in a list is no number."""
+    if column.null_count:
+        raise TidemillError("the input of a reservoir is null")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
+def changes(column: pa.Array) -> np.ndarray:
+    """Whether each value differs from the one before; the first does not."""
+    a, b = column.slice(1), column.slice(0, len(column) - 1)
+    differ = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+    return np.concatenate([[False], differ.to_numpy(zero_copy_only=False).astype(bool)])
+
+
+def _starts(rows: DataFrame, sort: Callable, pieces: int, spec: ReservoirSpec, seed: int) -> dict[int, np.ndarray]:
+    """The state before each piece of (_g: piece, _o: order, _u: inputs). Starts and ends of pieces, a state each, are all that comes to the driver."""
+    starts: dict[int, np.ndarray] = {}
+    ends: dict[int, np.ndarray] = {}
+    todo = list(range(pieces))
+    while todo:
+
+        def run(batches: Iterator[pa.RecordBatch], starts=dict(starts)) -> Iterator[pa.RecordBatch]:
+            net, state, last = None, None, None
+            give = lambda: pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([state.tolist()], pa.list_(pa.float64()))], names=["_g", "_x"])
+            for batch in batches:
+                if not len(batch):
+                    continue
+                keys, u = batch.column(0).to_numpy(), inputs_of(batch.column(2))
+                if net is None:
+                    net = Network(spec, u.shape[1], seed)
+                cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+                for a, b in zip(cuts, cuts[1:]):
+                    if keys[a] != last:
+                        if last is not None:
+                            yield give()
+                        last, state = int(keys[a]), starts.get(int(keys[a]), net.initial)
+                    state = net.states(u[a:b], state)[-1]
+            if last is not None:
+                yield give()
+
+        part = rows if len(todo) == pieces else rows.where(F.col("_g").isin(todo))
+        ends |= {r["_g"]: np.array(r["_x"]) for r in sort(part).mapInArrow(run, "_g int, _x array<double>").collect()}
+        todo, before = [], None
+        for k in range(pieces):  # a piece without rows hands on what came before it
+            if before is not None and not (k in starts and np.array_equal(starts[k], before, equal_nan=True)):
+                starts[k] = before
+                todo.append(k)
+            before = ends.get(k, before)
+    return starts
+
+
 def reservoir(source: str, order: str, target: str, spec: ReservoirSpec, group: str | None = None, seed: int = 42) -> Pipeline:
     """States and, if the spec has a washout, without the first of them."""
-    stages = [ReservoirStates(inputCol=source, outputCol=target, orderCol=order, groupCol=group, spec=ReservoirStates.spec_json(spec), seed=seed)]
-    if spec.washout is not None:
-        stages.append(DropSeriesLeft(orderCol=order, count=spec.washout))
-    return Pipeline(stages=stages)
+    return Pipeline(stages=[ReservoirStates(inputCol=source, outputCol=target, orderCol=order, groupCol=group, spec=ReservoirStates.spec_json(spec), seed=seed, washout=spec.washout)])
 
 
 def reservoir_in_place(column: str, order: str, spec: ReservoirSpec, seed: int = 42) -> Pipeline:
