@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline
@@ -18,7 +18,7 @@ from tidemill.operators.reservoir import ReservoirSpec, ReservoirStates
 from tidemill.operators.results import ClassificationSetting, RegressionSetting, Results, ServiceSetting, TemporalSetting
 from tidemill.operators.sampling import Sampling, choose_split, random_split
 from tidemill.operators.scaling import in_place_pca, numeric_scaler_in_place, vector_scaler_in_place
-from tidemill.operators.stages import DropSeriesLeft, RenameInPlace
+from tidemill.operators.stages import Keep, RenameInPlace
 from tidemill.operators.validation import forward_cv, kfold_cv
 from tidemill.operators.windows import SeqShift, SlidingWindow, independent_predictions, order_dependent_predictions
 
@@ -74,13 +74,12 @@ def temporal_stages(setting: TemporalSetting, service: ServiceSetting) -> tuple[
         for name, value in own.items():
             if isinstance(value, Grid):
                 put(states, name, value)
+        put(states, "washout", spec.washout)
         stages += [states, RenameInPlace(source="features_states", target="features")]
-        if spec.washout is not None:
-            wash = DropSeriesLeft(orderCol=order)
-            put(wash, "count", spec.washout)
-            stages.append(wash)
     if not stages:
         log.warning("neither a sliding window nor a reservoir is set")
+    else:
+        stages.append(Keep())  # the shift, the fit and the judging all ask for it
     shift = SeqShift(inputCol="label", outputCol="label_shifted", orderCol=order, groupCol=group, shift=setting.predict_ahead, consecutive=service.consecutive_order)
     return [*stages, shift, RenameInPlace(source="label_shifted", target="label")], grids
 
@@ -130,15 +129,39 @@ def collect_outputs(df: DataFrame, whole: bool, order: str = "index") -> list[tu
     return [(kind(r[0]), kind(r[1])) for r in rows]
 
 
-def binary_curves(df: DataFrame, score: str, bins: int) -> dict[str, list]:
-    t = M.threshold_curves(df, score, bins).orderBy(F.desc("threshold")).collect()
+class Points(Sequence):
+    """A curve's points, as many as the data have scores: collected when first looked at."""
+
+    def __init__(self, collect: Callable[[], list]):
+        self._collect, self._points = collect, None
+
+    def _all(self) -> list:
+        if self._points is None:
+            self._points = self._collect()
+        return self._points
+
+    def __getitem__(self, k):
+        return self._all()[k]
+
+    def __len__(self) -> int:
+        return len(self._all())
+
+    def __eq__(self, other) -> bool:
+        return self._all() == list(other)
+
+    def __repr__(self) -> str:
+        return repr(self._all())
+
+
+def binary_curves(df: DataFrame, score: str, bins: int) -> dict[str, Sequence]:
     pairs = lambda frame, *order: [(r["x"], r["y"]) for r in frame.orderBy(*order).collect()]
+    by_threshold = lambda y: Points(lambda: [(r["threshold"], r[y]) for r in M.threshold_curves(df, score, bins).select("threshold", y).orderBy(F.desc("threshold")).collect()])
     return {
-        "roc": pairs(M.roc_curve(df, score, bins), "x", "y"),
-        "precisionRecall": pairs(M.pr_curve(df, score, bins), "x"),
-        "f1Threshold": [(r["threshold"], r["f1"]) for r in t],
-        "precisionThreshold": [(r["threshold"], r["precision"]) for r in t],
-        "recallThreshold": [(r["threshold"], r["recall"]) for r in t],
+        "roc": Points(lambda: pairs(M.roc_curve(df, score, bins), "x", "y")),
+        "precisionRecall": Points(lambda: pairs(M.pr_curve(df, score, bins), "x")),
+        "f1Threshold": by_threshold("f1"),
+        "precisionThreshold": by_threshold("precision"),
+        "recallThreshold": by_threshold("recall"),
     }
 
 
@@ -230,6 +253,9 @@ class LearningService:
                 done = list(pool.map(once, range(repetitions)))
         finally:
             df.unpersist()
+            for stage in stages:
+                if isinstance(stage, Keep):
+                    stage.drop()
         results = Results(counts=[d[1] for d in done], curves=[d[2] for d in done], outputs=[d[3] for d in done])
         for values, *_ in done:
             for metric, by_split in values.items():

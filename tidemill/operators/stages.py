@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 
 from pyspark.ml import Estimator, Pipeline, Transformer
@@ -94,6 +95,30 @@ class Cacher(Stage):
         return df.cache()
 
 
+class Keep(Stage):
+    """Cache what passes, the last ``MOST`` frames of this stage and its copies at a time, until ``drop``; older ones are computed again if asked for."""
+
+    MOST = 4
+
+    def __init__(self):
+        super().__init__()
+        self.kept: deque[DataFrame] = deque()
+
+    def copy(self, extra=None):
+        return self
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        df = df.cache()
+        self.kept.append(df)
+        while len(self.kept) > self.MOST:
+            self.kept.popleft().unpersist()
+        return df
+
+    def drop(self) -> None:
+        while self.kept:
+            self.kept.popleft().unpersist()
+
+
 class FilterGroupsWithCount(Stage):
     """Keep the rows of groups of exactly ``expectedCount`` rows."""
 
