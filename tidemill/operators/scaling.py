@@ -33,6 +33,51 @@ class ColumnNormModel(Stage):
         return df.withColumn(self.required("outputCol"), array_to_vector(scaled))
 
 
+class ColumnScaleModel(Stage):
+    """(x - shift) / by * width + low for each element, in this order of operations; where ``by`` is 0 the result is ``flat``."""
+
+    inputCol = param("inputCol", "vector column", TypeConverters.toString)
+    outputCol = param("outputCol", "scaled column", TypeConverters.toString)
+    shift = param("shift", "one number for each element", TypeConverters.toListFloat)
+    by = param("by", "one number for each element", TypeConverters.toListFloat)
+    width = param("width", "factor of the result", TypeConverters.toFloat)
+    low = param("low", "added to the result", TypeConverters.toFloat)
+    flat = param("flat", "result of a constant column", TypeConverters.toFloat)
+    defaults = {"width": 1.0, "low": 0.0}
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        need_not(df.schema, self.required("outputCol"))
+        stats = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in zip(self.required("shift"), self.required("by"), strict=True)])
+        width, low, flat = self.required("width"), self.required("low"), self.required("flat")
+
+        def one(x, s):
+            y = (x - s["a"]) / F.when(s["b"] != 0, s["b"])
+            y = y if width == 1 else y * F.lit(width)
+            return F.when(s["b"] == 0, F.when(F.isnan(x), x).otherwise(flat)).otherwise(y if low == 0 else y + F.lit(low))
+
+        scaled = F.zip_with(vector_to_array(self.required("inputCol")), stats, one)
+        return df.withColumn(self.required("outputCol"), array_to_vector(scaled))
+
+
+class ColumnScaler(WithParams, Estimator, DefaultParamsReadable, DefaultParamsWritable):
+    """Standard or min-max scaling, dividing by the deviation or the range itself: multiplying by its reciprocal gives other last bits."""
+
+    inputCol = param("inputCol", "vector column", TypeConverters.toString)
+    outputCol = param("outputCol", "scaled column", TypeConverters.toString)
+    kind = param("kind", "StandardScaler, MinMaxZeroOneScaler or MinMaxPlusMinusOneScaler", TypeConverters.toString)
+
+    def _fit(self, df: DataFrame) -> ColumnScaleModel:
+        io = {"inputCol": self.required("inputCol"), "outputCol": self.required("outputCol")}
+        kind = self.required("kind")
+        if kind == "StandardScaler":
+            model = StandardScaler(withMean=True, withStd=True, **io).fit(df)
+            return ColumnScaleModel(shift=model.mean.toArray().tolist(), by=model.std.toArray().tolist(), flat=0.0, **io)
+        model = MinMaxScaler(**io).fit(df)
+        least, most = model.originalMin.toArray(), model.originalMax.toArray()
+        width, low = (2.0, -1.0) if kind == "MinMaxPlusMinusOneScaler" else (1.0, 0.0)
+        return ColumnScaleModel(shift=least.tolist(), by=(most - least).tolist(), width=width, low=low, flat=width / 2 + low, **io)
+
+
 class ColumnNormNormalizer(WithParams, Estimator, DefaultParamsReadable, DefaultParamsWritable):
     """Learn the p-norm of every column, p >= 1 or infinity."""
 
@@ -54,12 +99,8 @@ def vector_scaler(kind: str, source: str = "features", target: str = "scaledFeat
             return ColumnNormNormalizer(p=1.0, **io)
         case "L2Normalizer":
             return ColumnNormNormalizer(p=2.0, **io)
-        case "StandardScaler":
-            return StandardScaler(withMean=True, withStd=True, **io)
-        case "MinMaxPlusMinusOneScaler":
-            return MinMaxScaler(min=-1.0, max=1.0, **io)
-        case "MinMaxZeroOneScaler":
-            return MinMaxScaler(min=0.0, max=1.0, **io)
+        case "StandardScaler" | "MinMaxPlusMinusOneScaler" | "MinMaxZeroOneScaler":
+            return ColumnScaler(kind=kind, **io)
         case "MaxAbsScaler":
             return MaxAbsScaler(**io)
     raise TidemillError(f"no scaler of kind {kind}")

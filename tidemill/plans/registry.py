@@ -38,12 +38,21 @@ def table(s: SparkSession, d: str, name: str) -> DataFrame:
     return parquet(s, f"{d}/{name}.parquet")
 
 
+def _half_away(x: Column, digits: int) -> Column:
+    """As the SQL rounds doubles: the scaled number to the next whole one, halves away from zero; the sign of a zero stays."""
+    scaled = F.abs(x) * F.lit(10.0**digits)
+    whole = F.rint(scaled)
+    whole = F.when(scaled - whole == 0.5, whole + 1.0).otherwise(whole) / F.lit(10.0**digits)
+    result = F.when((x < 0) | (x.cast("string") == "-0.0"), -whole).otherwise(whole)
+    return F.when(F.isnan(result) | (F.abs(result) == float("inf")), x).otherwise(result)
+
+
 def rounded(c: str | Column, digits: int = 6) -> Column:
-    return F.round(c, digits)
+    return _half_away((F.col(c) if isinstance(c, str) else c).cast("double"), digits)
 
 
 def rounded_array(c: Column, digits: int = 6) -> Column:
-    return F.transform(c, lambda x: F.round(x, digits))
+    return F.transform(c, lambda x: _half_away(x, digits))
 
 
 def events(s: SparkSession, d: str) -> DataFrame:
