@@ -86,10 +86,31 @@ def column_norms(df: DataFrame, column: str, p: float) -> DataFrame:
     if p == float("inf"):
         return _per_element(df, column, [], lambda x: F.max(F.abs(x)))
     if p == 1:
-        return _per_element(df, column, [], lambda x: F.sum(F.abs(x)))
+        return _summed(df, column, F.abs, lambda s: s)
     if p == 2:
-        return _per_element(df, column, [], lambda x: F.sqrt(F.sum(F.col(x) * F.col(x))))
-    return _per_element(df, column, [], lambda x: F.pow(F.sum(F.pow(F.abs(x), F.lit(float(p)))), F.lit(1.0 / p)))
+        return _summed(df, column, lambda x: x * x, F.sqrt)
+    return _summed(df, column, lambda x: F.pow(F.abs(x), F.lit(float(p))), lambda s: F.pow(s, F.lit(1.0 / p)))
+
+
+def _summed(df: DataFrame, column: str, term: Callable[[Column], Column], last: Callable[[Column], Column]) -> DataFrame:
+    """One row: ``last`` of the sum of each element's terms (none below 0), the same however rows are dealt and ordered.
+
+    Each term is cut into three whole numbers of 31 bits below its column's largest, which add up without rounding.
+    """
+    long = df.where(F.col(column).isNotNull()).select(F.posexplode(as_array(df, column)).alias("_pos", "_x")).select("_pos", term(F.col("_x")).alias("_x"))
+    tops = long.groupBy("_pos").agg(F.max("_x").alias("_top"))  # a row for each element
+    step = F.lit(float(1 << 31))
+    plain = F.isnan("_top") | (F.col("_top") > 1e300) | (F.col("_top") < 1e-250)  # cut pieces would leave the range of doubles
+    bits = F.floor(F.log2("_top")) + 2
+    y = long.join(F.broadcast(tops), "_pos").withColumn("_y", F.when(~plain, F.col("_x") / F.pow(F.lit(2.0), bits) * step))
+    y = y.withColumn("_h", F.floor("_y")).withColumn("_y", (F.col("_y") - F.col("_h")) * step)
+    y = y.withColumn("_m", F.floor("_y")).withColumn("_l", F.floor((F.col("_y") - F.col("_m")) * step))
+    sums = y.groupBy("_pos", "_top").agg(*[F.sum(c).cast("decimal(38,0)").alias(c) for c in ("_h", "_m", "_l")], F.sum("_x").alias("_plain"))
+    factor = F.lit(1 << 31).cast("decimal(11,0)")
+    whole = ((F.col("_h") * factor + F.col("_m")).cast("decimal(38,0)") * factor + F.col("_l")).cast("double")
+    exact = whole / step / step / step * F.pow(F.lit(2.0), bits)
+    each = sums.select("_pos", last(F.when(plain | F.col("_top").isNull(), F.col("_plain")).otherwise(exact)).alias("_x"))
+    return each.agg(F.transform(F.sort_array(F.collect_list(F.struct("_pos", "_x"))), lambda s: s["_x"]).alias(column))
 
 
 # --- running folds over all elements of all vectors so far ---------------------------------------------------------
