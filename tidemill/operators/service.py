@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tidemill.errors import TidemillError
 from tidemill.operators import metrics as M
-from tidemill.operators.learners import Classifier, Clusterer, Grid, MultiLayerPerceptron, Regressor, build_estimator, cluster_column, param_maps
+from tidemill.operators.learners import Classifier, Clusterer, GaussianMixture, Grid, MultiLayerPerceptron, Regressor, build_estimator, cluster_column, param_maps
+from tidemill.operators.mixture import fit_mixture
 from tidemill.operators.prep import IndexToStringIfNeeded, input_size, output_size
 from tidemill.operators.reservoir import ReservoirSpec, ReservoirStates
 from tidemill.operators.results import ClassificationSetting, RegressionSetting, Results, ServiceSetting, TemporalSetting
@@ -188,7 +189,8 @@ class LearningService:
         """All columns of ``df`` and ``cluster``."""
         stages = ([vector_scaler_in_place(normalization)] if normalization else []) + ([in_place_pca(pca_dims)] if pca_dims else [])
         ready = Pipeline(stages=stages).fit(df).transform(df) if stages else df
-        model = build_estimator(spec)[0].fit(ready)
+        estimator = build_estimator(spec)[0]
+        model = fit_mixture(estimator, ready) if isinstance(spec, GaussianMixture) else estimator.fit(ready)
         return cluster_column(spec, model.transform(ready))
 
     def _learn(self, df: DataFrame, spec, setting, temporal: TemporalSetting | None, replication: DataFrame | None) -> Results:
